@@ -96,7 +96,7 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
         pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first", kind="stable").reset_index(drop=True)
         name = f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}:{pdf['level'].iloc[0]}"
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
-        order = rng.permutation(len(pdf))
+        order = np.argsort(-pdf["size"].to_numpy(), kind="stable")  # large first, so that small ones are left
         size, p = pdf["size"].to_numpy(float)[order], pdf["p"].to_numpy(float)[order]
         moved = _flight(size, p, rng)
         if pdf["blocks"].iloc[0] == 1:
