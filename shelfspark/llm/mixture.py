@@ -7,8 +7,9 @@ fraction, the inclusion probability of one more copy. Those copies are drawn by
 a flight phase moves the probabilities along null-space directions of the balancing constraints
 (documents and words of the source) until they are 0 or 1. The flight runs in blocks of bounded
 size within each source; at most two documents a block stay undecided, and these fly again in new
-blocks, level by level, until one block per source is left, whose last documents (the landing)
-take the choice nearest to the words still due.
+blocks, level by level, until one block per source is left. Its largest documents and what the
+flight left undecided are the landing problem, at most fourteen documents: all their choices are
+listed and one is drawn, near-balanced ones likelier.
 
 Defined cases: null text has size 0; documents of size 0 take no words and weigh nothing; a null
 source is a source of its own, last; equal sizes and repeated rows are separate units, drawn each;
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WEIGHTS = (5, 2, 1)
+LANDING = 12
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -77,13 +79,20 @@ def _flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
     return p
 
 
-def _land(size: np.ndarray, p: np.ndarray, due: float) -> np.ndarray:
-    """0 or 1 for the last few fractions: the choice whose words come nearest to ``due``."""
+def _land(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """0 or 1 for the last fractions (sixteen at most): all choices are listed, and one is drawn by
+    its probability under independent draws times how near its words come to the words due."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    best = min(range(1 << len(open_)), key=lambda k: (abs(sum(size[i] for j, i in enumerate(open_) if k >> j & 1) - due), k))
+    if not len(open_):
+        return p
+    q, s = p[open_], size[open_]
+    choice = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = choice @ s - q @ s
+    scale = max(1.0, 0.001 * float(size @ p), float(np.abs(off).min()))
+    odds = choice @ np.log(q / (1 - q)) - 0.5 * (off / scale) ** 2
+    weight = np.exp(odds - odds.max())
     p = p.copy()
-    for j, i in enumerate(open_):
-        p[i] = float(best >> j & 1)
+    p[open_] = choice[rng.choice(len(choice), p=weight / weight.sum())]
     return p
 
 
@@ -98,10 +107,11 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
         order = np.argsort(-pdf["size"].to_numpy(), kind="stable")  # large first, so that small ones are left
         size, p = pdf["size"].to_numpy(float)[order], pdf["p"].to_numpy(float)[order]
-        moved = _flight(size, p, rng)
-        if pdf["blocks"].iloc[0] == 1:
-            open_ = (moved > 0) & (moved < 1)
-            moved = _land(size, moved, float((size * moved)[open_].sum()))
+        if pdf["blocks"].iloc[0] == 1:  # the source's last block: its largest documents wait for the landing
+            moved = np.concatenate([p[:LANDING], _flight(size[LANDING:], p[LANDING:], rng)])
+            moved = _land(size, moved, rng)
+        else:
+            moved = _flight(size, p, rng)
         back = np.empty(len(pdf))
         back[order] = moved
         return pdf[["doc_id", "source", "size"]].assign(p=back, level=pdf["level"] + 1)
