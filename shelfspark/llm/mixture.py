@@ -6,8 +6,8 @@ A source's factor (target / own words) has a whole part, taken from every docume
 fraction, the inclusion probability of one more copy. Those copies are drawn by the cube method:
 a flight phase moves the probabilities along null-space directions of the balancing constraints
 (documents and words of the source) until they are 0 or 1. The flight runs in blocks of bounded
-size within each source; at most two documents a block stay undecided, and these fly again in new
-blocks, level by level, until one block per source is left. Its largest documents and what the
+size within each source; twelve documents a block, of all sizes, wait and at most two more stay
+undecided, and these fly in the blocks of the next level, level by level, until one block per source is left. Its largest documents and what the
 flight left undecided are the landing problem, at most fourteen documents: all their choices are
 listed and one is drawn, near-balanced ones likelier.
 
@@ -110,8 +110,11 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
         if pdf["blocks"].iloc[0] == 1:  # the source's last block: its largest documents wait for the landing
             moved = np.concatenate([p[:LANDING], _flight(size[LANDING:], p[LANDING:], rng)])
             moved = _land(size, moved, rng)
-        else:
-            moved = _flight(size, p, rng)
+        else:  # some of every size wait for the next level, so that the last one can make up for a very large document
+            fly_now = np.ones(len(p), bool)
+            fly_now[np.linspace(0, len(p) - 1, LANDING).astype(int)] = False
+            moved = p.copy()
+            moved[fly_now] = _flight(size[fly_now], p[fly_now], rng)
         back = np.empty(len(pdf))
         back[order] = moved
         return pdf[["doc_id", "source", "size"]].assign(p=back, level=pdf["level"] + 1)
