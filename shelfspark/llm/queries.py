@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixture, sentencepiece_codec, url_filter
+from . import embedding_dedup, exact_topk, line_dedup, mixture, sentencepiece_codec, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -17,6 +17,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
@@ -35,8 +43,8 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op4_line_dedup, op7_sentencepiece, op10_mixture)}
+    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op7_sentencepiece, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_exact_topk": exact_topk.ORACLE_SQL, "op1_url_filters": url_filter.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}
