@@ -76,7 +76,8 @@ def build(rows: DataFrame, routes: np.ndarray, largest: float, page_rows: int, l
                 own = np.flatnonzero(home == c)
                 if len(own):
                     out.append((route, page, float(np.linalg.norm(centres[c] - routes[route])), float(d[own, c].max()), centres[c].tobytes(), ids[own].tolist(), x[own, :-1].tobytes(), d[own, c].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(col) for col in zip(*out)], names=["route", "page", "parent_distance", "radius", "centre", "ids", "entries", "distances"])
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out), kinds)], names=["route", "page", "parent_distance", "radius", "centre", "ids", "entries", "distances"])
 
     placed = materialize(rows.mapInArrow(assign, "id long, v array<double>, route int"))
     pages = placed.groupBy("route").agg(F.ceil(F.count("*") / page_rows).cast("int").alias("pages"))
