@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_topk, line_dedup, mixture, sentencepiece_codec, url_filter
+from . import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, sentencepiece_codec, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +47,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op7_sentencepiece, op10_mixture)}
+    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op5_ngram_jaccard_join, op7_sentencepiece, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
