@@ -53,7 +53,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 5, min_chars: int = 16, text: s
         F.collect_set(F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.col("key"))).alias("__own"),
     )
     per = materialize(per).withColumnRenamed("doc_id", "__id")
-    out = docs.join(per, docs.doc_id.eqNullSafe(F.col("__id")), "left").drop("__id")
+    # the lists grow with the documents, so the join is by shuffle at every size
+    out = docs.join(per.hint("merge"), docs.doc_id.eqNullSafe(F.col("__id")), "left").drop("__id")
     lines = F.split(text, "\n")
     keys = F.transform(lines, lambda x: _key(x, min_chars))
     hit_doc = F.col("__drop").isNotNull()
