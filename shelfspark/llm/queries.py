@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, quality_pu, sentencepiece_codec, url_filter
+from . import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, quality_pu, sentencepiece_codec, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -45,13 +45,17 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op5_ngram_jaccard_join, op7_sentencepiece, op8_quality_pu, op10_mixture)}
+    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op5_ngram_jaccard_join, op7_sentencepiece, op8_quality_pu, op9_toxicity, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
