@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, quality_pu, sentencepiece_codec, toxicity, url_filter
+from . import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, pii, quality_pu, sentencepiece_codec, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -34,6 +34,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op5_ngram_jaccard_join, op7_sentencepiece, op8_quality_pu, op9_toxicity, op10_mixture)}
+    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_exact_topk, op4_line_dedup, op5_ngram_jaccard_join, op6_pii, op7_sentencepiece, op8_quality_pu, op9_toxicity, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
