@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from .common import binary_rows, components, groups_of, in_blocks, materialize,
 
 LEAF = ["leaf", "block_a", "block_b"]
 SKETCH = 32
+ALIKE = 4
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -73,7 +75,7 @@ def describe(docs: DataFrame, runs: int, threshold: float, text: str) -> DataFra
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     low.append(s[:SKETCH].tobytes())
-                    alike.append([int(mix(s ^ np.uint64(k + 7)).min().astype(np.int64)) for k in range(4)] if len(s) else [])
+                    alike.append([int(mix(s ^ np.uint64(k + 7)).min().astype(np.int64)) for k in range(ALIKE)] if len(s) else [])
                     paths.append(first_paths(s, runs, threshold).astype(np.int64) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(low, pa.binary()), pa.array(alike, pa.list_(pa.int64())), pa.array(paths, pa.list_(pa.int64()))],
@@ -98,17 +100,20 @@ def with_sets(docs: DataFrame, of: DataFrame, text: str) -> DataFrame:
     return joined.mapInArrow(run, of.select("doc_id", *more).schema.add("tokens", T.BinaryType()))
 
 
-def leaves(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, depth: int, text: str) -> DataFrame:
-    """(leaf, doc_id) of the nodes to search: with two sets at least, and few or alike ones."""
+def leaves(sets: DataFrame, threshold: float, leaf_rows: int, depth: int) -> DataFrame:
+    """(leaf, doc_id) of the nodes to search: with two sets at least, and few or alike ones. Below
+    the first level a set is split on its sketch, a sample of its tokens that similar sets share
+    to the same degree, so no text is read again."""
     now = sets.select(F.explode(F.array_distinct("paths")).alias("leaf"), "doc_id")
     out = None
     for level in range(1, depth + 1):
         nodes = materialize(now.groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1"))
         if level < depth:
             large = nodes.filter(F.col("m") > leaf_rows)
-            rows = now.join(large, "leaf").join(sets.select("doc_id", "alike"), "doc_id")
-            same = rows.select("leaf", "m", F.posexplode("alike").alias("k", "value")).groupBy("leaf", "m", "k", "value").count()
-            share = same.groupBy("leaf", "m").agg((F.sum(F.col("count") * F.col("count")) / (4 * F.col("m") * F.col("m"))).alias("share"))
+            rows = materialize(now.join(large, "leaf").join(sets.select("doc_id", "alike"), "doc_id").select("leaf", "m", "alike"))
+            same = [rows.groupBy("leaf", "m", F.col("alike")[k].alias("value")).agg(F.count("*").alias("same")) for k in range(ALIKE)]
+            same = reduce(DataFrame.unionByName, same)
+            share = same.groupBy("leaf", "m").agg((F.sum(F.col("same") * F.col("same")) / (ALIKE * F.col("m") * F.col("m"))).alias("share"))
             split = materialize(share.filter(F.col("share") < threshold / 2).select("leaf"))
             stay = nodes.select("leaf").join(split, "leaf", "left_anti")
         else:
@@ -117,21 +122,16 @@ def leaves(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, d
         out = here if out is None else out.unionByName(here)
         if split is None or split.isEmpty():
             break
-        down = now.join(split, "leaf", "left_semi").groupBy("doc_id").agg(F.collect_list("leaf").alias("parents"))
+        down = now.join(split, "leaf", "left_semi").join(sets.select("doc_id", "low"), "doc_id").select("leaf", "doc_id", "low")
 
         def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, paths = [], []
-                for doc, parents, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    s = np.frombuffer(raw, np.uint64)
-                    for p in parents:
-                        got = next_paths(s, p, threshold).astype(np.int64)
-                        paths.append(got)
-                        ids.append(np.full(len(got), doc, np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.array(np.concatenate(ids))], names=["leaf", "doc_id"])
-
-        now = materialize(with_sets(docs, down, text).mapInArrow(descend, "leaf long, doc_id long").distinct())
+                paths = [next_paths(s, p, threshold).astype(np.int64) for p, s in zip(batch.column(0).to_pylist(), binary_rows(batch.column(2)))]
+                if paths:
+                    ids = np.repeat(batch.column(1).to_numpy(), [len(p) for p in paths])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.array(ids)], names=["leaf", "doc_id"])
+
+        now = materialize(down.mapInArrow(descend, "leaf long, doc_id long").distinct())
     return out
 
 
@@ -172,7 +172,7 @@ def _blocks(g: pa.Table) -> tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]
 
 def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, depth: int, text: str) -> tuple[DataFrame, DataFrame]:
     """(id, n) link counts and (a, b) forest edges of the classes in ``sets``."""
-    at = leaves(docs, sets, threshold, leaf_rows, depth, text)
+    at = leaves(sets, threshold, leaf_rows, depth)
     known = at.groupBy("doc_id").agg(F.sort_array(F.collect_set("leaf")).alias("known"))
     light = materialize(known.join(sets.select("doc_id", "n", "low"), "doc_id"))
     rows = in_blocks(at.distinct(), ["leaf"], leaf_rows, "doc_id").join(light, "doc_id")
