@@ -1 +1,171 @@
-"""Queries."""
+"""Snapshot synchronization over two derived snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import sync as S
+from .base import Catalog, query
+
+COLUMNS = ["category", "name", "manufacturer", "price", "size_mm"]
+_SAME = "a.category = b.category AND a.name = b.name AND a.manufacturer = b.manufacturer AND a.price = b.price AND a.size_mm IS NOT DISTINCT FROM b.size_mm"
+_HELD = "'promo'"
+
+
+def _stored(c: Catalog) -> DataFrame:
+    return c.snapshot_a.withColumn("h", S.row_hash(COLUMNS))
+
+
+def _incoming(c: Catalog) -> DataFrame:
+    return c.snapshot_b.withColumn("h", S.row_hash(COLUMNS))
+
+
+def _held(c: Catalog) -> DataFrame:
+    return c.snapshot_a.filter("category = 'promo'").select("category").distinct()
+
+
+def _plan(c: Catalog) -> DataFrame:
+    b = c.snapshot_b
+    return S.plan(c.snapshot_a, b, b.filter("bad = 0"), _held(c))
+
+
+_PLAN_SQL = f"""plan AS (SELECT * FROM (SELECT coalesce(a.upstream_key, b.upstream_key) AS upstream_key, coalesce(CASE WHEN b.bad = 0 THEN b.category END, a.category) AS category,
+    CASE WHEN b.bad = 0 AND b.category <> {_HELD} THEN 'accepted' WHEN a.active = 1 AND (b.upstream_key IS NOT NULL OR a.category = {_HELD}) THEN 'retained' WHEN a.active = 1 THEN 'deleted' WHEN a.active = 0 THEN 'inactive' END AS mode
+    FROM v_snapshot_a a FULL JOIN v_snapshot_b b ON a.upstream_key = b.upstream_key) WHERE mode IS NOT NULL)"""
+
+
+@query(
+    f"""SELECT coalesce(a.upstream_key, b.upstream_key) AS upstream_key, CASE WHEN a.upstream_key IS NULL THEN 'added' WHEN b.upstream_key IS NULL THEN CASE WHEN active = 1 THEN 'deleted' ELSE 'inactive' END
+    WHEN active = 0 THEN 'reactivated' WHEN {_SAME} THEN 'unchanged' ELSE 'updated' END AS change FROM v_snapshot_a a FULL JOIN v_snapshot_b b ON a.upstream_key = b.upstream_key"""
+)
+def diff_snapshot(c: Catalog) -> DataFrame:
+    return S.diff(_stored(c), _incoming(c))
+
+
+@query(f"WITH {_PLAN_SQL} SELECT upstream_key, category, mode FROM plan")
+def plan_modes(c: Catalog) -> DataFrame:
+    return _plan(c)
+
+
+@query("SELECT a.upstream_key, a.price FROM v_snapshot_a a JOIN v_snapshot_b b ON a.upstream_key = b.upstream_key WHERE bad = 1 AND active = 1")
+def retain_quarantined(c: Catalog) -> DataFrame:
+    b = c.snapshot_b
+    kept = c.snapshot_a.filter("active = 1").join(b, "upstream_key", "left_semi").join(b.filter("bad = 0"), "upstream_key", "left_anti")
+    return kept.select("upstream_key", "price")
+
+
+@query(
+    f"""WITH {_PLAN_SQL}, d AS (SELECT category, count(*) FILTER (WHERE mode = 'deleted') AS deleted FROM plan GROUP BY 1), a AS (SELECT category, count(*) AS active FROM v_snapshot_a WHERE active = 1 GROUP BY 1),
+    j AS (SELECT d.category, CAST(deleted AS BIGINT) AS deleted, active FROM d JOIN a ON d.category = a.category)
+    SELECT category, deleted, active, deleted / active > 0.05 AS too_many FROM j UNION ALL SELECT NULL, CAST(sum(deleted) AS BIGINT), CAST(sum(active) AS BIGINT), sum(deleted) / sum(active) > 0.05 FROM j"""
+)
+def guard_deletions(c: Catalog) -> DataFrame:
+    return S.deletion_guard(_plan(c), c.snapshot_a.filter("active = 1"), 0.05)
+
+
+@query(
+    """WITH o AS (SELECT category, count(*) AS before FROM v_snapshot_a GROUP BY 1), n AS (SELECT category, count(*) AS after FROM v_snapshot_b WHERE category <> 'large' OR price < 950 GROUP BY 1)
+    SELECT o.category, before, coalesce(after, 0) AS after, coalesce(after, 0) >= 0.8 * before AND (coalesce(after, 0) <= 1.5 * before OR after <= before + 10) AS ok FROM o LEFT JOIN n ON o.category = n.category"""
+)
+def guard_counts(c: Catalog) -> DataFrame:
+    return S.count_guard(c.snapshot_a, c.snapshot_b.filter("category <> 'large' OR price < 950"))
+
+
+@query(
+    """WITH k AS (SELECT category, count(*) AS present, count(*) FILTER (WHERE bad = 1) AS quarantined FROM v_snapshot_b GROUP BY 1)
+    SELECT *, quarantined > 25 OR (quarantined >= 3 AND quarantined > 0.035 * present) OR (present > 0 AND quarantined = present) AS held FROM k"""
+)
+def guard_quarantine(c: Catalog) -> DataFrame:
+    counts = c.snapshot_b.groupBy("category").agg(F.count("*").alias("present"), F.count_if(F.col("bad") == 1).alias("quarantined"))
+    return S.quarantine_guard(counts, share=0.035)
+
+
+@query(
+    """WITH j AS (SELECT a.category, a.size_mm AS s0, b.size_mm AS s1, a.price AS p0, b.price AS p1 FROM v_snapshot_a a JOIN v_snapshot_b b ON a.upstream_key = b.upstream_key)
+    SELECT category, 'size_mm' AS field, count(s0) AS known, count(*) FILTER (WHERE s0 IS NOT NULL AND s1 IS NULL) AS lost, count(*) FILTER (WHERE s0 IS NOT NULL AND s1 IS NULL) / count(s0) > 0.05 AS held FROM j GROUP BY 1
+    UNION ALL SELECT category, 'price', count(p0), count(*) FILTER (WHERE p0 IS NOT NULL AND p1 IS NULL), false FROM j GROUP BY 1"""
+)
+def guard_field_loss(c: Catalog) -> DataFrame:
+    return S.field_loss(c.snapshot_a, c.snapshot_b, ["size_mm", "price"], limit=0.05)
+
+
+@query(
+    """WITH a AS (SELECT category, i.product_id, count(*) AS o FROM v_identifiers i JOIN v_products p ON i.product_id = p.product_id GROUP BY 1, 2),
+    b AS (SELECT product_id, count(*) AS n FROM v_identifiers WHERE NOT (type = 'ean' AND product_id % 9 = 0) GROUP BY 1)
+    SELECT category, CAST(sum(greatest(0, o - coalesce(n, 0))) AS BIGINT) AS lost FROM a LEFT JOIN b ON a.product_id = b.product_id GROUP BY 1"""
+)
+def guard_identifier_loss(c: Catalog) -> DataFrame:
+    old = c.identifiers.join(c.products.select("product_id", "category"), "product_id")
+    return S.element_loss(old, c.identifiers.filter("NOT (type = 'ean' AND product_id % 9 = 0)"), "product_id")
+
+
+@query("SELECT category, count(*) AS rows, round(count(*) FILTER (WHERE size_mm IS NULL) / count(*), 6) AS unknown, count(*) FILTER (WHERE size_mm IS NULL) / count(*) > 0.05 AS held FROM v_snapshot_b GROUP BY 1")
+def guard_bootstrap(c: Catalog) -> DataFrame:
+    rate = F.try_divide(F.count_if(F.col("size_mm").isNull()), F.count("*"))
+    return c.snapshot_b.groupBy("category").agg(F.count("*").alias("rows"), F.round(rate, 6).alias("unknown"), (rate > 0.05).alias("held"))
+
+
+@query(
+    f"""WITH {_PLAN_SQL}, p AS (SELECT category, count(*) AS presence, count(*) FILTER (WHERE bad = 1) AS quarantined FROM v_snapshot_b GROUP BY 1),
+    m AS (SELECT category, count(*) FILTER (WHERE mode = 'accepted') AS accepted, count(*) FILTER (WHERE mode = 'retained') AS retained, count(*) FILTER (WHERE mode = 'deleted') AS deleted FROM plan GROUP BY 1)
+    SELECT p.category, presence, quarantined, accepted, retained, deleted, accepted + retained AS published FROM p LEFT JOIN m ON p.category = m.category"""
+)
+def quality_report(c: Catalog) -> DataFrame:
+    p = c.snapshot_b.groupBy("category").agg(F.count("*").alias("presence"), F.count_if(F.col("bad") == 1).alias("quarantined"))
+    m = _plan(c).groupBy("category").agg(*[F.count_if(F.col("mode") == x).alias(x) for x in ("accepted", "retained", "deleted")])
+    return p.join(m, "category", "left").withColumn("published", F.col("accepted") + F.col("retained"))
+
+
+_APPLIED_SQL = f"""applied AS (SELECT coalesce(a.upstream_key, b.upstream_key) AS upstream_key, CASE WHEN mode = 'accepted' THEN 1 WHEN mode = 'deleted' THEN 0 ELSE a.active END AS active,
+    CASE WHEN mode = 'accepted' THEN b.name ELSE a.name END AS name, CASE WHEN mode = 'accepted' THEN b.price ELSE a.price END AS price, CASE WHEN mode = 'accepted' THEN b.size_mm ELSE a.size_mm END AS size_mm
+    FROM v_snapshot_a a FULL JOIN v_snapshot_b b ON a.upstream_key = b.upstream_key JOIN plan ON plan.upstream_key = coalesce(a.upstream_key, b.upstream_key))"""
+
+
+@query(f"WITH {_PLAN_SQL}, {_APPLIED_SQL} SELECT upstream_key, active, name, price, size_mm FROM applied")
+def apply_plan(c: Catalog) -> DataFrame:
+    return S.apply(c.snapshot_a, _plan(c), c.snapshot_b, COLUMNS).select("upstream_key", "active", "name", "price", "size_mm")
+
+
+@query(
+    """WITH d AS (SELECT coalesce(a.upstream_key, b.upstream_key) AS upstream_key, CASE WHEN a.upstream_key IS NULL THEN 'added' ELSE 'updated' END AS change FROM v_snapshot_a a RIGHT JOIN v_snapshot_b b ON a.upstream_key = b.upstream_key
+    WHERE a.upstream_key IS NULL OR (active = 1 AND NOT (a.category = b.category AND a.name = b.name AND a.manufacturer = b.manufacturer AND a.price = b.price AND a.size_mm IS NOT DISTINCT FROM b.size_mm)))
+    SELECT upstream_key, change FROM d ORDER BY upstream_key LIMIT 25"""
+)
+def apply_partial(c: Catalog) -> DataFrame:
+    changes = S.diff(_stored(c), _incoming(c)).filter("change in ('added', 'updated')")
+    return S.next_batch(changes, "upstream_key", 25)
+
+
+@query("SELECT upstream_key, 5000 + row_number() OVER (ORDER BY upstream_key) AS id FROM v_snapshot_b b WHERE NOT EXISTS (SELECT 1 FROM v_snapshot_a a WHERE a.upstream_key = b.upstream_key)")
+def assign_ids(c: Catalog) -> DataFrame:
+    new = c.snapshot_b.join(c.snapshot_a, "upstream_key", "left_anti").select("upstream_key")
+    return S.assign_ids(new, 5000)
+
+
+@query(f"WITH {_PLAN_SQL} SELECT 'ok' AS status, count(*) AS n FROM plan")
+def verify_plan_state(c: Catalog) -> DataFrame:
+    planned = _plan(c)
+    stored = S.apply(c.snapshot_a, planned, c.snapshot_b, COLUMNS).withColumn("h", S.row_hash(COLUMNS))
+    return S.verify_state(planned, _incoming(c), stored, _stored(c))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS run, min(ts) AS started, CASE WHEN user_id % 7 = 0 THEN 'failed' WHEN user_id % 5 = 0 THEN 'partial' ELSE 'complete' END AS status FROM events GROUP BY user_id)
+    SELECT status, count(*) AS n, max_by(run, started) AS latest FROM r GROUP BY status"""
+)
+def run_history(c: Catalog) -> DataFrame:
+    run = F.col("user_id")
+    status = F.when(run % 7 == 0, "failed").when(run % 5 == 0, "partial").otherwise("complete")
+    runs = c.events.groupBy(run.alias("run"), status.alias("status")).agg(F.min("ts").alias("started"))
+    return runs.groupBy("status").agg(F.count("*").alias("n"), F.max_by("run", "started").alias("latest"))
+
+
+@query(
+    """WITH u AS (SELECT product_id, type, value_key, 1 AS v FROM v_identifiers WHERE origin = 'local' UNION ALL SELECT product_id, 'mpn', value_key, 2 FROM v_identifiers WHERE origin = 'local' AND product_id % 4 = 0 UNION ALL SELECT product_id, 'jan', 'J' || product_id, 2 FROM v_products WHERE product_id % 100 = 0)
+    SELECT product_id, type, value_key, max(v) AS v FROM u GROUP BY 1, 2, 3"""
+)
+def upsert_identifiers(c: Catalog) -> DataFrame:
+    local = c.identifiers.filter("origin = 'local'").select("product_id", "type", "value_key")
+    new = local.filter("product_id % 4 = 0").unionByName(c.products.filter("product_id % 100 = 0").select("product_id", F.lit("jan").alias("type"), F.concat(F.lit("J"), F.col("product_id").cast("string")).alias("value_key")))
+    return S.upsert(local.withColumn("v", F.lit(1)), new.withColumn("v", F.lit(2)), ["product_id", "type", "value_key"], "v")
