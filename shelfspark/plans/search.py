@@ -1 +1,287 @@
-"""Queries."""
+"""Search over per-category corpora, for whole tables of queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import tokens
+from ..operators import search as S
+from .base import Catalog, query
+
+_T = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_FIELDS = ["name", "manufacturer", "series"]
+
+
+def _post_sql(where: str = "active = 1") -> str:
+    rows = " UNION ALL ".join(f"SELECT category, product_id AS doc, '{f}' AS field, {_T.format(f'coalesce({f}, chr(32))')} AS t FROM v_products WHERE {where}" for f in _FIELDS)
+    return f"post AS (SELECT category, doc, field, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM ({rows}))"
+
+
+_POST = _post_sql()
+_DOCPOST = f"dpost AS (SELECT category, doc, 'text' AS field, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT category, doc_id AS doc, {_T.format('text')} AS t FROM v_docs))"
+_STATS = """len AS (SELECT category, doc, count(*) AS length FROM post GROUP BY 1, 2), corp AS (SELECT category, count(*) AS docs, sum(length) AS tokens, avg(length) AS average FROM len GROUP BY 1),
+    st AS (SELECT post.category, term, count(DISTINCT doc) AS df, count(*) AS occurrences, any_value(docs) AS docs, greatest(1e-6, ln((any_value(docs) - count(DISTINCT doc) + 0.5) / (count(DISTINCT doc) + 0.5))) AS idf FROM post JOIN corp ON post.category = corp.category GROUP BY 1, 2)"""
+_QUERIES = """q AS (SELECT s_suppkey AS query_id, ['economy', 'small', 'medium', 'large', 'promo', 'standard'][s_suppkey % 6 + 1] AS category,
+    CASE s_suppkey % 4 WHEN 0 THEN 'red ring' WHEN 1 THEN 'Blue widget Brand#' || (s_suppkey % 25 + 1) WHEN 2 THEN 'small' ELSE 'brand green' END AS query FROM supplier)"""
+_TERMS = f"terms AS (SELECT query_id, category, len(list_distinct(t)) AS n, unnest(list_distinct(t)) AS term FROM (SELECT query_id, category, {_T.format('query')} AS t FROM q))"
+_W = "CASE field WHEN 'name' THEN 10.0 WHEN 'manufacturer' THEN 2.0 ELSE 4.0 END"
+_CONTRIB = f"""c AS (SELECT query_id, post.category, doc, post.term, n, CAST(sum({_W}) AS DOUBLE) AS wtf FROM post JOIN terms ON post.category = terms.category AND post.term = terms.term GROUP BY 1, 2, 3, 4, 5),
+    k AS (SELECT query_id, c.doc, c.term, n, wtf, idf * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * length / average)) AS contribution FROM c JOIN st ON c.category = st.category AND c.term = st.term JOIN len ON len.category = c.category AND len.doc = c.doc JOIN corp ON corp.category = c.category),
+    bm AS (SELECT query_id, doc, sum(contribution) AS relevance FROM k GROUP BY query_id, doc, n HAVING count(*) = n)"""
+_ALL = f"{_POST}, {_STATS}, {_QUERIES}, {_TERMS}, {_CONTRIB}"
+
+
+def _post(c: Catalog) -> DataFrame:
+    return S.postings(c.products.filter("active = 1"), "product_id", _FIELDS)
+
+
+def _doc_post(c: Catalog) -> DataFrame:
+    return S.postings(c.docs, "doc_id", ["text"])
+
+
+def _queries(c: Catalog) -> DataFrame:
+    s = F.col("s_suppkey")
+    text = F.when(s % 4 == 0, "red ring").when(s % 4 == 1, F.concat(F.lit("Blue widget Brand#"), (s % 25 + 1).cast("string"))).when(s % 4 == 2, "small").otherwise("brand green")
+    category = F.element_at(F.array(*[F.lit(x) for x in ("economy", "small", "medium", "large", "promo", "standard")]), (s % 6 + 1).cast("int"))
+    return c.supplier.select(s.alias("query_id"), category.alias("category"), text.alias("query"))
+
+
+@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_terms, array_to_string(t[1:3], ' ') AS head FROM (SELECT doc_id, {_T.format('text')} AS t FROM v_docs)")
+def tokenize(c: Catalog) -> DataFrame:
+    t = c.docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct_terms"), F.array_join(F.slice("t", 1, 3), " ").alias("head"))
+
+
+@query(f"WITH {_POST} SELECT category, term, field, count(*) AS n, count(DISTINCT doc) AS docs, CAST(sum(pos) AS BIGINT) AS places FROM post GROUP BY 1, 2, 3")
+def build_postings(c: Catalog) -> DataFrame:
+    return _post(c).groupBy("category", "term", "field").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"), F.sum("pos").alias("places"))
+
+
+@query(
+    f"WITH {_POST}, fresh AS (SELECT category, doc, field, CASE WHEN doc % 9 = 0 AND field = 'name' THEN term || 'x' ELSE term END AS term, pos FROM post WHERE doc % 13 <> 0) SELECT category, term, count(*) AS n, count(DISTINCT doc) AS docs FROM fresh GROUP BY 1, 2"
+)
+def refresh_postings(c: Catalog) -> DataFrame:
+    """Products divisible by 9 get new names, those divisible by 13 are withdrawn."""
+    products = c.products.filter("active = 1")
+    changed = products.filter("product_id % 9 = 0 OR product_id % 13 = 0").select(F.col("product_id").alias("doc"))
+    renamed = products.filter("product_id % 9 = 0 AND product_id % 13 <> 0").withColumn("name", F.concat(F.replace("name", F.lit(" "), F.lit("x ")), F.lit("x")))
+    fresh = S.refresh(_post(c), changed, S.postings(renamed, "product_id", _FIELDS))
+    return fresh.groupBy("category", "term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
+
+
+@query(f"WITH {_POST}, {_STATS} SELECT category, term, df, occurrences, round(df / docs, 9) AS rate, round(idf, 6) AS idf FROM st")
+def corpus_stats(c: Catalog) -> DataFrame:
+    s = S.term_stats(_post(c))
+    return s.select("category", "term", "df", "occurrences", F.round("rate", 9).alias("rate"), F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_DOCPOST}, p AS (SELECT DISTINCT category, substr(term, 1, 3) AS prefix FROM dpost WHERE pos = 0 AND length(term) >= 2) SELECT p.category, prefix, count(DISTINCT doc) AS df FROM p JOIN dpost ON p.category = dpost.category AND starts_with(term, prefix) GROUP BY 1, 2")
+def prefix_df(c: Catalog) -> DataFrame:
+    post = _doc_post(c)
+    prefixes = post.filter((F.col("pos") == 0) & (F.length("term") >= 2)).select("category", F.substring("term", 1, 3).alias("prefix"))
+    return S.prefix_docs(post, prefixes).groupBy("category", "prefix").agg(F.count("*").alias("df"))
+
+
+_ITEMS = f"items AS (SELECT item_id AS query_id, ({_T.format('text')})[1:3] AS t, ({_T.format('text')})[1:8] AS t8 FROM benchmark)"
+
+
+def _items(c: Catalog, n: int) -> DataFrame:
+    """Benchmark passages as queries over every language."""
+    langs = c.docs.select("category").distinct()
+    t = c.benchmark.select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, n).alias("terms"))
+    return t.join(F.broadcast(langs))  # a handful of languages
+
+
+@query(f"WITH {_DOCPOST}, {_ITEMS}, t AS (SELECT query_id, len(list_distinct(t)) AS n, unnest(list_distinct(t)) AS term FROM items) SELECT query_id, doc FROM dpost JOIN t ON dpost.term = t.term GROUP BY query_id, doc, n HAVING count(DISTINCT dpost.term) = n")
+def match_all(c: Catalog) -> DataFrame:
+    t = _items(c, 3).select("query_id", "category", F.array_distinct("terms").alias("terms"))
+    return S.match_all(_doc_post(c), t.select("query_id", "category", F.size("terms").alias("n"), F.explode("terms").alias("term")))
+
+
+@query(f"WITH {_POST}, {_QUERIES}, p AS (SELECT query_id, category, unnest({_T.format('query')}) AS term FROM q), p2 AS (SELECT DISTINCT query_id, category, substr(term, 1, 3) AS prefix FROM p WHERE length(term) >= 3) SELECT DISTINCT query_id, doc FROM p2 JOIN post ON p2.category = post.category AND starts_with(post.term, prefix)")
+def match_prefix(c: Catalog) -> DataFrame:
+    p = S.query_terms(_queries(c)).filter(F.length("term") >= 3).select("query_id", "category", F.substring("term", 1, 3).alias("prefix")).distinct()
+    return p.join(S.prefix_docs(_post(c), p), ["category", "prefix"]).select("query_id", "doc").distinct()
+
+
+@query(f"WITH {_ITEMS}, d AS (SELECT doc_id AS doc, ' ' || array_to_string({_T.format('text')}, ' ') || ' ' AS body FROM v_docs) SELECT query_id, doc FROM items JOIN d ON contains(body, ' ' || array_to_string(t8, ' ') || ' ')")
+def match_phrase(c: Catalog) -> DataFrame:
+    return S.phrase_hits(_doc_post(c), _items(c, 8)).select("query_id", "doc").distinct()
+
+
+@query(f"WITH {_POST}, {_QUERIES}, {_TERMS} SELECT query_id, doc FROM post JOIN terms ON post.category = terms.category AND post.term = terms.term WHERE field = 'name' GROUP BY query_id, doc, n HAVING count(DISTINCT post.term) = n")
+def match_fields(c: Catalog) -> DataFrame:
+    return S.match_all(_post(c).filter("field = 'name'"), S.query_terms(_queries(c)))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'rtx' || (5000 + p_size) || 'ti' WHEN 1 THEN 'x' || (800 + p_size) ELSE split_part(p_name, ' ', 1) END AS token, p_size FROM part)
+    SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN [token, 'rtx ' || (5000 + p_size) || 'ti', 'rtx' || (5000 + p_size) || ' ti', 'rtx ' || (5000 + p_size) || ' ti'] WHEN 1 THEN [token, 'x ' || (800 + p_size)] ELSE [token] END) AS form FROM t"""
+)
+def expand_models(c: Catalog) -> DataFrame:
+    k, size = F.col("p_partkey") % 3, F.col("p_size")
+    token = F.when(k == 0, F.concat(F.lit("rtx"), (size + 5000).cast("string"), F.lit("ti"))).when(k == 1, F.concat(F.lit("x"), (size + 800).cast("string"))).otherwise(F.split("p_name", " ")[0])
+    return c.part.select("p_partkey", F.explode(S.model_forms(token)).alias("form"))
+
+
+@query(f"WITH {_ALL} SELECT query_id, doc, round(relevance, 6) AS relevance FROM bm")
+def bm25(c: Catalog) -> DataFrame:
+    return S.bm25(_post(c), S.query_terms(_queries(c))).select("query_id", "doc", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"WITH {_ALL} SELECT query_id, doc, term, wtf AS weighted_tf, round(contribution, 6) AS contribution FROM k")
+def bm25_explain(c: Catalog) -> DataFrame:
+    return S.contributions(_post(c), S.query_terms(_queries(c))).withColumn("contribution", F.round("contribution", 6))
+
+
+_LOCAL = "loc AS (SELECT q.query_id, i.product_id AS doc FROM q JOIN v_products p ON p.category = q.category AND active = 1 JOIN v_identifiers i ON i.product_id = p.product_id AND origin = 'local' AND value_key = 'L-' || (query_id * 6))"
+
+
+def _local(c: Catalog) -> DataFrame:
+    q = _queries(c).select("query_id", "category", F.concat(F.lit("L-"), (F.col("query_id") * 6).cast("string")).alias("value_key"))
+    local = c.identifiers.filter("origin = 'local'").join(c.products.filter("active = 1").select("product_id", "category"), "product_id")
+    return q.join(local, ["category", "value_key"]).select("query_id", F.col("product_id").alias("doc"))
+
+
+@query(f"WITH {_ALL}, {_LOCAL} SELECT query_id, doc, round(max(relevance), 6) AS relevance FROM (SELECT query_id, doc, relevance FROM bm UNION ALL SELECT query_id, doc, 0 FROM loc) GROUP BY 1, 2")
+def merge_hits(c: Catalog) -> DataFrame:
+    hits = S.merge_hits(S.bm25(_post(c), S.query_terms(_queries(c))), _local(c).withColumn("relevance", F.lit(0.0)))
+    return hits.withColumn("relevance", F.round("relevance", 6))
+
+
+@query(f"WITH {_QUERIES}, {_LOCAL} SELECT DISTINCT query_id, doc FROM loc")
+def local_identifier_hits(c: Catalog) -> DataFrame:
+    return _local(c).distinct()
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 2 = 0 THEN 'BRAND#' || (s_suppkey % 25 + 1) || '-' || (s_suppkey % 50 + 1) ELSE '4' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') END AS key FROM supplier),
+    h AS (SELECT DISTINCT query_id, product_id FROM k JOIN v_identifiers i ON i.value_key = key AND (CASE WHEN query_id % 2 = 0 THEN type = 'mpn' ELSE type <> 'mpn' END))
+    SELECT query_id, product_id FROM h WHERE query_id IN (SELECT query_id FROM h GROUP BY 1 HAVING count(*) <= 3)"""
+)
+def trusted_identifier(c: Catalog) -> DataFrame:
+    s = F.col("s_suppkey")
+    part_number = F.concat(F.lit("BRAND#"), (s % 25 + 1).cast("string"), F.lit("-"), (s % 50 + 1).cast("string"))
+    keys = c.supplier.select(s.alias("query_id"), F.when(s % 2 == 0, part_number).otherwise(F.concat(F.lit("4"), F.lpad(s.cast("string"), 12, "0"))).alias("key"))
+    return S.trusted_owners(c.identifiers, keys)
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 3 THEN CAST(p_size * CASE WHEN p_partkey % 2 = 0 THEN 1000.0 ELSE 1.0 END AS DOUBLE) END AS capacity_gb, CASE WHEN p_partkey % 4 <> 3 THEN p_name ELSE lower(p_name || ' 8gb 16gb') END AS remaining FROM part"""
+)
+def parse_intent(c: Catalog) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 3, F.concat("p_name", F.lit(" 8gb 16gb"))).otherwise(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.when(k % 2 == 0, " TB").otherwise("gb")))
+    patterns = {"tb": ("(?<![\\p{L}\\p{N}.])([0-9]+(?:\\.[0-9]+)?)\\s*tb(?![\\p{L}\\p{N}.])", 1000.0), "gb": ("(?<![\\p{L}\\p{N}.])([0-9]+(?:\\.[0-9]+)?)\\s*gb(?![\\p{L}\\p{N}.])", 1.0)}
+    specs, rest = S.parse_specs(text, patterns)
+    return c.part.select("p_partkey", F.coalesce(specs["tb"], specs["gb"]).alias("capacity_gb"), rest.alias("remaining"))
+
+
+_TYPED = "typed AS (SELECT q.query_id, p.product_id AS doc, row_number() OVER (PARTITION BY q.query_id ORDER BY s.price, p.product_id) AS nth FROM q JOIN v_products p ON p.category = q.category AND active = 1 JOIN v_spec s ON s.product_id = p.product_id WHERE s.size_mm = query_id % 50 + 1)"
+
+
+@query(f"WITH {_QUERIES}, {_TYPED} SELECT query_id, doc FROM typed WHERE nth <= 256")
+def typed_candidates(c: Catalog) -> DataFrame:
+    q = _queries(c).select("query_id", "category", (F.col("query_id") % 50 + 1).cast("int").alias("size_mm"))
+    rows = c.products.filter("active = 1").join(c.spec, "product_id").join(q, ["category", "size_mm"])
+    return S.top_k(rows, 256, [F.col("price"), F.col("product_id")]).select("query_id", F.col("product_id").alias("doc"))
+
+
+@query(f"WITH {_QUERIES} SELECT query_id, product_id AS doc FROM q JOIN v_products p ON p.category = q.category AND active = 1 WHERE manufacturer IN ('Brand#' || (query_id % 25), 'Brand#' || (query_id % 25 + 1)) AND contains(' ' || name || ' ', ' red ')")
+def identity_candidates(c: Catalog) -> DataFrame:
+    names = F.array(F.concat(F.lit("Brand#"), (F.col("query_id") % 25).cast("string")), F.concat(F.lit("Brand#"), (F.col("query_id") % 25 + 1).cast("string")))
+    q = _queries(c).select("query_id", "category", F.explode(names).alias("manufacturer"))
+    residual = _post(c).filter("term = 'red' AND field = 'name'").select(F.col("doc").alias("product_id"))
+    hit = c.products.filter("active = 1").join(q, ["category", "manufacturer"]).join(residual, "product_id", "left_semi")
+    return hit.select("query_id", F.col("product_id").alias("doc"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Ryzen 7' WHEN 1 THEN 'Core Ultra 5' END AS family FROM part")
+def family_match(c: Catalog) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, "amd ryzen 7").when(k == 1, "intel ultra 5").otherwise(F.col("p_name"))
+    named = F.regexp_extract(text, "^(?:(?:amd|intel) )?(ryzen [3579]|core i[3579]|(?:core )?ultra [3579])$", 1)
+    family = F.regexp_replace(F.regexp_replace(F.regexp_replace(named, "^(?:core )?ultra", "Core Ultra"), "^ryzen", "Ryzen"), "^core", "Core")
+    return c.part.select("p_partkey", F.nullif(family, F.lit("")).alias("family"))
+
+
+_SCORED = f"""{_ALL}, scored AS (SELECT bm.query_id, bm.doc, CASE WHEN lower(trim(p.name)) = lower(q.query) THEN 700 WHEN contains(' ' || lower(p.name) || ' ', ' ' || array_to_string({_T.format('q.query')}, ' ') || ' ') THEN 650 WHEN starts_with(lower(p.name), ({_T.format('q.query')})[1]) THEN 400 ELSE 100 END AS tier,
+    CASE WHEN s.size_mm = q.query_id % 50 + 1 THEN 12.0 WHEN s.size_mm IS NULL THEN 3.0 ELSE 0.0 END AS spec_score, CASE WHEN contains(' ' || lower(q.query) || ' ', ' ' || lower(p.manufacturer) || ' ') THEN 2.0 ELSE 0.0 END AS manufacturer_score,
+    coalesce(greatest(-0.05, least(0.05, (p.release_year - 2022) * 0.01)), 0.0) AS freshness_score, relevance, p.name FROM bm JOIN q ON bm.query_id = q.query_id JOIN v_products p ON p.product_id = bm.doc JOIN v_spec s ON s.product_id = bm.doc),
+    final AS (SELECT *, CAST(tier + spec_score + manufacturer_score + freshness_score + relevance / (1 + relevance) AS DOUBLE) AS score FROM scored)"""
+
+
+def _scored(c: Catalog) -> DataFrame:
+    q = _queries(c)
+    hits = S.bm25(_post(c), S.query_terms(q)).withColumnRenamed("doc", "product_id")
+    rows = hits.join(q.drop("category"), "query_id").join(c.products, "product_id").join(c.spec, "product_id")
+    text, name = F.array_join(tokens(F.col("query")), " "), F.lower(F.trim("name"))
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    tier = S.tier([(name == F.lower("query"), 700), (padded(name).contains(padded(text)), 650), (name.startswith(F.get(tokens(F.col("query")), 0)), 400)])
+    rows = rows.withColumn("tier", tier).withColumn("spec_score", S.spec_score([(F.col("size_mm"), (F.col("query_id") % 50 + 1).cast("int"))]))
+    rows = rows.withColumn("manufacturer_score", S.manufacturer_score(F.col("manufacturer"), F.lower("query"))).withColumn("freshness_score", S.freshness(F.col("release_year")))
+    extra = F.col("spec_score") + F.col("manufacturer_score") + F.col("freshness_score")
+    return rows.withColumn("score", S.final_score(F.col("tier"), extra, F.col("relevance"), F.lit(0))).withColumnRenamed("product_id", "doc")
+
+
+@query(f"WITH {_SCORED} SELECT query_id, doc, tier FROM final")
+def rank_tiers(c: Catalog) -> DataFrame:
+    return _scored(c).select("query_id", "doc", "tier")
+
+
+@query(f"WITH {_SCORED} SELECT query_id, doc, CAST(spec_score AS DOUBLE) AS spec_score FROM final")
+def spec_score(c: Catalog) -> DataFrame:
+    return _scored(c).select("query_id", "doc", "spec_score")
+
+
+@query(f"WITH {_SCORED} SELECT query_id, doc, CAST(manufacturer_score AS DOUBLE) AS manufacturer_score FROM final")
+def manufacturer_score(c: Catalog) -> DataFrame:
+    return _scored(c).select("query_id", "doc", "manufacturer_score")
+
+
+@query(f"WITH {_SCORED} SELECT query_id, doc, CAST(round(freshness_score, 4) AS DOUBLE) AS freshness_score FROM final")
+def freshness_score(c: Catalog) -> DataFrame:
+    return _scored(c).select("query_id", "doc", F.round(F.col("freshness_score").cast("double"), 4).alias("freshness_score"))
+
+
+@query(f"WITH {_SCORED} SELECT query_id, doc, round(score, 5) AS score, CASE tier WHEN 700 THEN 'exact-name' WHEN 650 THEN 'name-phrase' WHEN 400 THEN 'prefix-name' ELSE 'fts' END AS match_type FROM final")
+def final_score(c: Catalog) -> DataFrame:
+    kind = F.when(F.col("tier") == 700, "exact-name").when(F.col("tier") == 650, "name-phrase").when(F.col("tier") == 400, "prefix-name").otherwise("fts")
+    return _scored(c).select("query_id", "doc", F.round(F.col("score").cast("double"), 5).alias("score"), kind.alias("match_type"))
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, name, doc) AS rank FROM final) SELECT query_id, rank, doc FROM r WHERE rank <= 10")
+def topk_search(c: Catalog) -> DataFrame:
+    return S.top_k(_scored(c), 10, [F.round(F.col("score").cast("double"), 5).desc(), F.col("name"), F.col("doc")]).select("query_id", "rank", "doc")
+
+
+_FQ = "fq AS (SELECT p_partkey AS query_id, lower(p_type) AS category, CASE p_partkey % 4 WHEN 0 THEN 'x red zzz rtx5080' WHEN 1 THEN 'red y' WHEN 2 THEN 'red zzz c 5080' ELSE p_name END AS query FROM part)"
+
+
+@query(f"WITH {_FQ}, {_POST} SELECT query_id, 'x' AS dropped, 'red zzz rtx5080' AS query FROM fq WHERE query_id % 4 = 0")
+def fallback_query(c: Catalog) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    q = c.part.select(F.col("p_partkey").alias("query_id"), F.lower("p_type").alias("category"), F.when(k == 0, "x red zzz rtx5080").when(k == 1, "red y").when(k == 2, "red zzz c 5080").otherwise(F.col("p_name")).alias("query"))
+    strict = S.match_all(_post(c), S.query_terms(q))
+    return S.fallback_terms(q, strict).select("query_id", "dropped", "query")
+
+
+@query(f"WITH {_POST}, {_QUERIES} SELECT DISTINCT query_id, doc FROM q JOIN post ON q.category = post.category AND term IN ('ring', 'gear') AND query_id % 4 = 0")
+def alias_query(c: Catalog) -> DataFrame:
+    aliases = c.spark.createDataFrame([("ring", "ring"), ("ring", "gear")], "term string, alias string")
+    terms = S.query_terms(_queries(c)).join(F.broadcast(aliases), "term")  # a fixed alias list
+    return _post(c).join(terms.select("query_id", "category", F.col("alias").alias("term")), ["category", "term"]).select("query_id", "doc").distinct()
+
+
+@query(f"WITH {_POST}, {_QUERIES} SELECT DISTINCT q.query_id, a.doc FROM q JOIN post a ON a.category = q.category AND a.term = 'red' AND a.field = 'name' JOIN post b ON b.doc = a.doc AND b.field = a.field AND b.term = 'ring' AND b.pos = a.pos + 1 WHERE q.query_id % 4 = 0")
+def adjacency_rule(c: Catalog) -> DataFrame:
+    q = _queries(c).filter("query_id % 4 = 0").select("query_id", "category", tokens(F.col("query")).alias("terms"))
+    return S.phrase_hits(_post(c), q).select("query_id", "doc").distinct()
+
+
+@query(f"WITH {_POST}, {_QUERIES}, {_TERMS}, {_TYPED}, lex AS (SELECT query_id, doc FROM post JOIN terms ON post.category = terms.category AND post.term = terms.term GROUP BY query_id, doc, n HAVING count(DISTINCT post.term) = n) SELECT query_id, doc FROM lex UNION SELECT query_id, doc FROM typed WHERE nth <= 256 AND query_id % 2 = 0")
+def bounded_lexical(c: Catalog) -> DataFrame:
+    lexical = S.match_all(_post(c), S.query_terms(_queries(c)))
+    typed = typed_candidates(c).filter("query_id % 2 = 0")
+    return lexical.unionByName(typed).distinct()
