@@ -80,7 +80,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     return Model(mean, scale, w, b, prior)
 
 
-def _sample(rows: DataFrame, n: int) -> np.ndarray:
+def _sample(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
+    """Shape rows of the ``n`` documents among ``ids`` whose hash is least."""
     schema = ", ".join(["doc_id long", *[f"{k} double" for k in SHAPE]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,17 +89,18 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in shape(batch.column(1)).T]], names=["doc_id", *SHAPE])
 
-    # the ids are chosen first, so that only the texts of the sample are read again and measured
-    ids = rows.select("doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
-    got = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, schema).toArrow()
+    # the ids are chosen first and are at most n, so no text is shuffled
+    chosen = ids.select("doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, schema).toArrow()
     got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
     return np.stack([got.column(k).to_numpy() for k in SHAPE], 1) if got.num_rows else np.empty((0, len(SHAPE)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> Model | None:
     trusted = labels.filter((F.col("quality") == 1) & ~held_out(*HOLD)).select("doc_id").distinct()
-    positive = _sample(docs.join(trusted, "doc_id", "left_semi"), sample_rows)
-    unlabelled = _sample(docs.filter("doc_id is not null"), sample_rows)
+    every = docs.select("doc_id").filter("doc_id is not null")
+    positive = _sample(docs, every.join(trusted, "doc_id", "left_semi"), sample_rows)
+    unlabelled = _sample(docs, every, sample_rows)
     return fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 
