@@ -9,8 +9,8 @@ correlated given the label, which then vote as one. A linear classifier on hashe
 is trained on the posterior labels; the labelled training rows of the sample set the scale and
 shift of its score (Platt).
 
-Lexicon statistics cover all labelled training rows; the label model uses the counts of all vote
-patterns; only the classifier's fit uses a bounded sample (``sample_rows``). Every document is
+Lexicon statistics cover at most ``label_rows`` labelled training rows; the label model uses the
+counts of all vote patterns; the classifier's fit uses at most about ``sample_rows`` documents. Every document is
 scored on its whole text.
 
 Defined cases: null text counts as empty; empty texts get a score (votes: all abstain); labels,
@@ -59,10 +59,17 @@ def seed_keys() -> np.ndarray:
     return text_keys(pa.array([" ".join(SEED_WORDS)]))[1][: len(SEED_WORDS)]
 
 
-def mine_lexicon(docs: DataFrame, labels: DataFrame, size: int = 240, least: int = 5) -> np.ndarray:
-    """Keys whose labelled training documents are toxic in a share near one, best first. Counts
-    cover every labelled training row; what comes to the driver is the ``size`` best keys."""
+def known_labels(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, toxic) of the labelled training rows, at most ``rows``, those of least hash."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(*HOLD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = docs.select("doc_id").join(known, "doc_id").distinct()
+    return materialize(known.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(rows))
+
+
+def mine_lexicon(docs: DataFrame, known: DataFrame, size: int = 240, least: int = 5) -> np.ndarray:
+    """Keys whose labelled training documents are toxic in a share near one, best first; what comes
+    to the driver is the ``size`` best keys. ``known`` has a bounded number of rows, so it is
+    broadcast and no text is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +88,7 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame, size: int = 240, least: int
                 all_ = np.bincount(inverse, minlength=len(uniq))
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.astype(np.int64)), pa.array(all_), pa.array(bad)], names=["key", "n", "bad"])
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("toxic").cast("long"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("toxic").cast("long"), "text")
     stats = rows.mapInArrow(count, "key long, n long, bad long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     strength = F.col("bad") / F.col("n") - 1.0 / F.sqrt(F.col("n") + 1.0)
     best = stats.filter((F.col("bad") >= least) & (strength >= 0.59)).orderBy(strength.desc(), "key").limit(size)
@@ -221,8 +228,9 @@ class Model:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> Model:
-    voters = Voters(mine_lexicon(docs, labels))
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, label_rows: int = 50000) -> Model:
+    known = known_labels(docs, labels, label_rows)
+    voters = Voters(mine_lexicon(docs, known))
     share = min(1.0, sample_rows / max(1, docs.count()))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +254,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> Model
     pick = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
     rows = voted.filter(pick).orderBy("doc_id").select(*columns).toArrow()
     weights = _logistic(_rows(voters, rows), model.posterior(np.frombuffer(b"".join(rows.column("votes").to_pylist()), np.int8).reshape(rows.num_rows, -1)))
-    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(*HOLD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = voted.join(known, "doc_id").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample_rows).select(*columns, "toxic").toArrow()
     if seen.num_rows:
         scale, shift = _platt(_rows(voters, seen) @ weights[:-1] + weights[-1], seen.column("toxic").to_numpy().astype(float))
