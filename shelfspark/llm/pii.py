@@ -153,7 +153,9 @@ class Field:
 
     @classmethod
     def fit(cls, graph: Graph, steps: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Field:
-        """Maximise the pseudo-likelihood of the base labels."""
+        """Maximise the pseudo-likelihood of the base labels. A token outside the base spans that
+        repeats one inside them is neither labelled nor counted: whether it is personal data is
+        what the field has to tell."""
         x, y, edges = graph.arrays()
         n, k = len(x), len(KINDS) + 1
         one = np.eye(k)[y]
@@ -162,13 +164,15 @@ class Field:
             e = edges[edges[:, 2] == t]
             np.add.at(around[t], e[:, 0], one[e[:, 1]])
             np.add.at(around[t], e[:, 1], one[e[:, 0]])
+        unclear = (y == 0) & ((around[SAME] + around[SIMILAR])[:, 1:].sum(1) > 0)
+        counts = (~unclear / max(1, int((~unclear).sum())))[:, None]
         w, c, a = np.zeros((FEATURES, k)), np.zeros((k, k)), np.ones(2)
         state = [np.zeros_like(p) for p in (w, c, a, w, c, a)]
         for t in range(1, steps + 1):
             logits = x @ w + around[0] @ c + a[0] * around[1] + a[1] * around[2]
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            d = (p - one) / n
+            d = (p - one) * counts
             g_c = around[0].T @ d
             grads = [x.T @ d + decay * w, (g_c + g_c.T) / 2 + decay * c, np.array([(around[s] * d).sum() for s in (1, 2)]) + decay * (a - 2)]
             for i, (param, g) in enumerate(zip((w, c, a), grads)):
