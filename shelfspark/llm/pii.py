@@ -159,13 +159,18 @@ class Field:
         x, y, edges = graph.arrays()
         n, k = len(x), len(KINDS) + 1
         one = np.eye(k)[y]
+        tied = edges[edges[:, 2] != CHAIN]
+        touched = np.zeros(n, bool)
+        touched[tied[y[tied[:, 1]] > 0, 0]] = True
+        touched[tied[y[tied[:, 0]] > 0, 1]] = True
+        unclear = (y == 0) & touched
+        counts = (~unclear / max(1, int((~unclear).sum())))[:, None]
+        seen = one * ~unclear[:, None]
         around = np.zeros((3, n, k))
         for t in range(3):
             e = edges[edges[:, 2] == t]
-            np.add.at(around[t], e[:, 0], one[e[:, 1]])
-            np.add.at(around[t], e[:, 1], one[e[:, 0]])
-        unclear = (y == 0) & ((around[SAME] + around[SIMILAR])[:, 1:].sum(1) > 0)
-        counts = (~unclear / max(1, int((~unclear).sum())))[:, None]
+            np.add.at(around[t], e[:, 0], seen[e[:, 1]])
+            np.add.at(around[t], e[:, 1], seen[e[:, 0]])
         w, c, a = np.zeros((FEATURES, k)), np.zeros((k, k)), np.ones(2)
         state = [np.zeros_like(p) for p in (w, c, a, w, c, a)]
         for t in range(1, steps + 1):
