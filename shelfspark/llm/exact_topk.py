@@ -96,7 +96,7 @@ def _search(asked: DataFrame, tree: DataFrame, routes: np.ndarray, largest: floa
     they reach ``bound``, the least score that can still matter (null: any)."""
     block = F.pmod(F.xxhash64(F.lit(31), "query_id"), F.lit(query_blocks)).cast("int")
     ask = asked.select("route", "page", block.alias("query_block"), "query_id", "q", "bound")
-    every = tree.select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    every = tree.join(ask.select("route", "page", "query_block").distinct(), ["route", "page"])  # pages go only to blocks that ask for them
     both = ask.unionByName(every, allowMissingColumns=True)
     key = ["route", "page", "query_block"]
 
