@@ -29,16 +29,19 @@ def _values(c: Catalog) -> DataFrame:
     return base.unionByName(spec).unionByName(facet)
 
 
+_ASKED = [f"Brand#{i}" for i in range(1, 16)]
+
+
 @query(
-    """SELECT p.product_id, name, manufacturer, size_mm, price FROM v_products p JOIN v_spec s ON p.product_id = s.product_id
-    WHERE category = 'small' AND active = 1 AND manufacturer IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AND size_mm BETWEEN 5 AND 45
+    f"""SELECT p.product_id, name, manufacturer, size_mm, price FROM v_products p JOIN v_spec s ON p.product_id = s.product_id
+    WHERE category = 'small' AND active = 1 AND manufacturer IN {tuple(_ASKED)} AND size_mm BETWEEN 5 AND 45
     AND EXISTS (SELECT 1 FROM v_facets f WHERE f.product_id = p.product_id AND attribute = 'word' AND value IN ('red', 'blue', 'small', 'green'))
     ORDER BY manufacturer, CASE WHEN series IS NULL OR series = '' THEN 1 ELSE 0 END, lower(coalesce(series, '')), lower(name), p.product_id LIMIT 20"""
 )
 def filter_search(c: Catalog) -> DataFrame:
     """Category, typed filter, range and facet, display-ordered first page."""
     rows = P.scope(c.products, "small").join(c.spec, "product_id")
-    rows = rows.filter(P.select_values(F.col("manufacturer"), [f"Brand#{i}" for i in range(1, 6)]) & P.within(F.col("size_mm"), 5, 45))
+    rows = rows.filter(P.select_values(F.col("manufacturer"), _ASKED) & P.within(F.col("size_mm"), 5, 45))
     rows = P.has_facets(rows, c.facets, {"word": ["red", "blue", "small", "green"]})
     return rows.orderBy(*C.display_keys()).limit(20).select("product_id", "name", "manufacturer", "size_mm", "price")
 
