@@ -4,9 +4,10 @@ Each document is the set of its hashed five-word shingles. Documents of equal se
 with a weight. The join (Christiani, Pagh and Sivertsen 2018) splits the sets recursively: at a
 node every set goes down for each of its tokens whose hash, drawn with the node's path, falls
 under 1 / (threshold * size), so similar sets go down together. A node with few sets, or with many
-that are alike on average, is searched by brute force; others split again, to ``depth`` levels.
-Independent runs repeat until the target recall at the threshold: a pair that survives one run
-with probability p needs log(1 - recall) / log(1 - p) of them.
+that are alike on average, is searched by brute force; others split again, to ``depth`` levels,
+with ``FAN`` times as many children, so that few pairs are lost below the first level. Independent
+runs repeat until the target recall at the threshold for pairs whose nodes split at every level
+(see ``missed``).
 
 Brute force has two steps, both in blocks of bounded size: sketches (the least hashes of each
 set) drop pairs that cannot link, and whole sets decide the rest exactly. A pair is judged only in
@@ -38,12 +39,30 @@ from .common import binary_rows, components, groups_of, in_blocks, materialize,
 LEAF = ["leaf", "block_a", "block_b"]
 SKETCH = 32
 ALIKE = 4
+FAN = 2.0
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs that a pair at the threshold needs, if its nodes are searched after one split."""
-    shared = 2 * threshold / (1 + threshold) / threshold  # expected common children of one node
-    return max(1, math.ceil(math.log(1 - recall) / math.log(math.exp(-shared))))
+def missed(runs: int, threshold: float, depth: int, fan: float = FAN) -> float:
+    """Chance that ``runs`` lose a pair at the threshold whose nodes all split, down to ``depth``
+    levels. The worst pair is a set and its subset: their larger set's sketch shares binomially
+    many tokens with the other, the same in every run, and under half of them ends the pair."""
+    lost = 0.0
+    for s in range(SKETCH + 1):
+        chance = math.comb(SKETCH, s) * threshold**s * (1 - threshold) ** (SKETCH - s)
+        stays = 1.0
+        for _ in range(depth - 1):
+            stays = 1 - (1 - min(1.0, fan / (threshold * SKETCH)) * stays) ** s
+        lost += chance * (math.exp(-runs * stays) if 2 * s >= SKETCH else 1.0)
+    return lost
+
+
+def runs_for(threshold: float, recall: float, depth: int = 3) -> int:
+    """Runs that a pair at the threshold needs, if its nodes split at every level. Where the sketch
+    itself loses more than the recall allows, runs add at most a tenth of the allowance."""
+    runs, sketch = 1, missed(10**6, threshold, depth)
+    while missed(runs, threshold, depth) > max(1 - recall, sketch + (1 - recall) / 10):
+        runs += 1
+    return runs
 
 
 def _limit(size: int, threshold: float) -> np.uint64:
@@ -61,7 +80,7 @@ def first_paths(s: np.ndarray, runs: int, threshold: float) -> np.ndarray:
 
 def next_paths(s: np.ndarray, path: int, threshold: float) -> np.ndarray:
     drawn = mix(s ^ np.int64(path).astype(np.uint64))
-    return mix(drawn[drawn <= _limit(len(s), threshold)])
+    return mix(drawn[drawn <= _limit(len(s), threshold / FAN)])
 
 
 def describe(docs: DataFrame, runs: int, threshold: float, text: str) -> DataFrame:
@@ -232,7 +251,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, leaf_rows: int = 256, depth: int = 3, text: str = "text") -> DataFrame:
     """(doc_id, n_links, class_id, component_id, kept) of every row: how many other rows link with
     it, the smallest doc_id with an equal set, and the smallest doc_id that links reach."""
-    described = materialize(describe(docs, runs_for(threshold, recall), threshold, text))
+    described = materialize(describe(docs, runs_for(threshold, recall, depth), threshold, text))
     usable = described.filter("n > 0 and doc_id is not null")
     sets = usable.groupBy("set_key", "n").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("low").alias("low"), F.first("alike").alias("alike"), F.first("paths").alias("paths")

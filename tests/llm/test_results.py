@@ -108,6 +108,26 @@ def test_jaccard_join(spark):
     assert {got[10000 + k]["component_id"] for k in range(400)} == {10000}
 
 
+def test_jaccard_join_where_every_shingle_is_frequent(spark):
+    """Sets and their subsets at the threshold, out of passages that many unlike documents share,
+    so that every node splits to the last level."""
+    rng, docs = random.Random(6), []
+    parts = [[[f"p{i}v{j}w{k}" for k in range(20)] for j in range(3)] for i in range(10)]
+    for k in range(400):
+        text = [w for slot in parts for w in slot[rng.randrange(3)]]
+        docs += [(k, " ".join(text)), (1000 + k, " ".join(text[:162]))]
+    got = {r["doc_id"]: r["n_links"] for r in chosen_path.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), leaf_rows=32).collect()}
+    sets = _sets(docs)
+    column = {g: c for c, g in enumerate(sorted(set().union(*sets.values())))}
+    x = np.zeros((len(docs), len(column)), np.float32)
+    for i, (d, _) in enumerate(docs):
+        x[i, [column[g] for g in sets[d]]] = 1
+    shared, n = x @ x.T, x.sum(1)
+    want = (shared >= 0.8 * (n[:, None] + n - shared) - 1e-6).sum(1) - 1
+    have = np.array([got[d] for d, _ in docs])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum()
+
+
 def test_base_spans_against_plain_patterns():
     plain = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     rng = random.Random(6)
