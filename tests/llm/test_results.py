@@ -52,6 +52,31 @@ def test_embedding_recall(spark):
     assert {got[i]["component_id"] for i in ids if i >= 20000} == {20000}
 
 
+def test_embedding_recall_with_a_common_direction(spark):
+    rng, rows = np.random.default_rng(12), []
+    common = rng.standard_normal(64)
+    common /= np.linalg.norm(common)
+
+    def across(*to):
+        z = rng.standard_normal(64)
+        for x in (common, *to):
+            z -= (z @ x) * x
+        return z / np.linalg.norm(z)
+
+    for k in range(600):
+        r = across()
+        c = 0.67 + 0.03 * rng.random()  # cosine 0.901 to 0.91 with the common part
+        rows += [(k, np.sqrt(0.7) * common + np.sqrt(0.3) * r), (10000 + k, np.sqrt(0.7) * common + np.sqrt(0.3) * (c * r + np.sqrt(1 - c * c) * across(r)))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    have = np.array([got[i] for i, _ in rows])
+    assert (have <= want).all(), (have.sum(), want.sum())
+    assert have.sum() >= 0.97 * want.sum()
+
+
 def test_topk_many_pages(spark):
     rng = np.random.default_rng(8)
     rows = [(i, (rng.integers(-3, 4, 8) / 4).tolist()) for i in range(1500)]  # many ties
