@@ -253,7 +253,7 @@ def vocabulary(model: bytes) -> MergeVocabulary:
     return MergeVocabulary(model)
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", check_every: int = 64) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", check_every: int = 1) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``decoded`` (string) instead of the text column.
 
     The model file is read on the driver and sent with the job (its size is the vocabulary's, not

@@ -3,15 +3,19 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from shelfspark.llm import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, pii, quality_pu, queries, toxicity
+from shelfspark.llm import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, pii, quality_pu, queries, sentencepiece_codec, toxicity
 from shelfspark.llm.common import components
 from shelfspark.llm.sentencepiece_codec import vocabulary
 
@@ -193,6 +197,25 @@ def test_codec_against_library():
         assert v.decode(want) == v.library.decode(want)
 
 
+def test_codec_compares_every_text(spark, monkeypatch):
+    """A fault in a text whose crc32 64 does not divide; the batches run in this process."""
+    import public_tokenizers
+
+    path, text = public_tokenizers.path("piece_bpe_32k.model"), "a text with a fault in its pieces"
+    assert zlib.crc32(text.encode()) % 64
+    with open(path, "rb") as f:
+        vocab = vocabulary(f.read())
+    right = vocab.encode
+    monkeypatch.setattr(vocab, "encode", lambda texts: (right(texts)[0][::-1], right(texts)[1]))
+    monkeypatch.setattr(sentencepiece_codec, "vocabulary", lambda model: vocab)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    here = SimpleNamespace(columns=["doc_id", "text"], schema=T.StructType().add("doc_id", "long"), sparkSession=spark)
+    here.select = lambda *c: here
+    here.mapInArrow = lambda run, schema: list(run(iter([batch])))
+    with pytest.raises(ValueError, match="differs from the sentencepiece library"):
+        sentencepiece_codec.encode_decode(here, path)
+
+
 @pytest.mark.parametrize(("op", "label", "least"), [(quality_pu, "quality", 0.97), (toxicity, "toxic", 0.9)])
 def test_held_out_accuracy(spark, op, label, least):
     docs, labels = spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet")
