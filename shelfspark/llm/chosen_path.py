@@ -11,14 +11,16 @@ runs repeat until the target recall at the threshold for pairs whose nodes split
 
 Brute force has two steps, both in blocks of bounded size: sketches (the least hashes of each
 set) drop pairs that cannot link, and whole sets decide the rest exactly. A pair is judged only in
-the first leaf that both sets share, so it counts once. Blocks give link counts and a spanning
-forest of their links, never the pairs of a hot group.
+the first leaf that both sets share, so it counts once, and sets whose first leaf is the same are
+not paired in later ones. Blocks give link counts and a spanning forest of their links, never the
+pairs of a hot group.
 
 Words are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text.
 
 Defined cases: null and wordless texts link with nothing; a text with fewer than five words has
-one shingle of all its words; equal texts link with Jaccard 1; repeated rows count each; a null id
-links with nothing; extra columns are not read; an empty table gives an empty result."""
+one shingle of all its words; equal texts link with Jaccard 1; repeated rows count each; unlike
+texts under one id are documents of their own; a null id links with nothing; extra columns are not
+read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -29,12 +31,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_rows, components, groups_of, in_blocks, materialize, mix, shingles, slices, together, union_find
+from .common import binary_rows, components, groups_of, in_blocks, materialize, mix, row_keys, shingles, slices, together, union_find
 
 LEAF = ["leaf", "block_a", "block_b"]
 SKETCH = 32
@@ -84,52 +85,57 @@ def next_paths(s: np.ndarray, path: int, threshold: float) -> np.ndarray:
 
 
 def describe(docs: DataFrame, runs: int, threshold: float, text: str) -> DataFrame:
-    """(doc_id, n, set_key, low, alike, paths) of every row."""
+    """(doc_id, k1, k2, n, set_key, low, alike, paths) of every row; k1 and k2 key the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in slices(batch.column(1)):
+            for begin, end in slices(batch.column(3)):
                 n, keys, low, alike, paths = [], [], [], [], []
-                for s in shingles(batch.column(1).slice(begin, end - begin)):
+                for s in shingles(batch.column(3).slice(begin, end - begin)):
                     n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(set_key(s))
                     low.append(s[:SKETCH].tobytes())
                     alike.append([int(mix(s ^ np.uint64(k + 7)).min().astype(np.int64)) for k in range(ALIKE)] if len(s) else [])
                     paths.append(first_paths(s, runs, threshold).astype(np.int64) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(low, pa.binary()), pa.array(alike, pa.list_(pa.int64())), pa.array(paths, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "set_key", "low", "alike", "paths"],
+                    [*(batch.column(k).slice(begin, end - begin) for k in range(3)), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(low, pa.binary()), pa.array(alike, pa.list_(pa.int64())), pa.array(paths, pa.list_(pa.int64()))],
+                    names=["doc_id", "k1", "k2", "n", "set_key", "low", "alike", "paths"],
                 )
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n int, set_key binary, low binary, alike array<long>, paths array<long>")
+    return docs.select("doc_id", *row_keys(text), text).mapInArrow(run, "doc_id long, k1 long, k2 long, n int, set_key binary, low binary, alike array<long>, paths array<long>")
+
+
+def set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def with_sets(docs: DataFrame, of: DataFrame, text: str) -> DataFrame:
-    """``of`` (unique doc_id, and more) with ``tokens``, the whole set, from the texts."""
-    more = [c for c in of.columns if c != "doc_id"]
-    joined = docs.select("doc_id", F.col(text).alias("__text")).join(of, "doc_id").select("doc_id", *more, "__text")
+    """``of`` (sid, doc_id, k1, k2, and more) with ``tokens``, the whole set of the text that
+    (doc_id, k1, k2) names; a row for each repetition of that text under its id."""
+    more = [c for c in of.columns if c not in ("doc_id", "k1", "k2")]
+    joined = docs.select("doc_id", *row_keys(text), F.col(text).alias("__text")).join(of, ["doc_id", "k1", "k2"]).select(*more, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end in slices(batch.column(batch.num_columns - 1)):
                 part = batch.slice(begin, end - begin)
                 sets = [s.tobytes() for s in shingles(part.column(part.num_columns - 1))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], names=["doc_id", *more, "tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], names=[*more, "tokens"])
 
-    return joined.mapInArrow(run, of.select("doc_id", *more).schema.add("tokens", T.BinaryType()))
+    return joined.mapInArrow(run, of.select(*more).schema.add("tokens", T.BinaryType()))
 
 
 def leaves(sets: DataFrame, threshold: float, leaf_rows: int, depth: int) -> DataFrame:
-    """(leaf, doc_id) of the nodes to search: with two sets at least, and few or alike ones. Below
+    """(leaf, sid) of the nodes to search: with two sets at least, and few or alike ones. Below
     the first level a set is split on its sketch, a sample of its tokens that similar sets share
     to the same degree, so no text is read again."""
-    now = sets.select(F.explode(F.array_distinct("paths")).alias("leaf"), "doc_id")
+    now = sets.select(F.explode(F.array_distinct("paths")).alias("leaf"), "sid")
     out = None
     for level in range(1, depth + 1):
         nodes = materialize(now.groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1"))
         if level < depth:
             large = nodes.filter(F.col("m") > leaf_rows)
-            rows = materialize(now.join(large, "leaf").join(sets.select("doc_id", "alike"), "doc_id").select("leaf", "m", "alike"))
+            rows = materialize(now.join(large, "leaf").join(sets.select("sid", "alike"), "sid").select("leaf", "m", "alike"))
             same = [rows.groupBy("leaf", "m", F.col("alike")[k].alias("value")).agg(F.count("*").alias("same")) for k in range(ALIKE)]
             same = reduce(DataFrame.unionByName, same)
             share = same.groupBy("leaf", "m").agg((F.sum(F.col("same") * F.col("same")) / (ALIKE * F.col("m") * F.col("m"))).alias("share"))
@@ -141,16 +147,16 @@ def leaves(sets: DataFrame, threshold: float, leaf_rows: int, depth: int) -> Dat
         out = here if out is None else out.unionByName(here)
         if split is None or split.isEmpty():
             break
-        down = now.join(split, "leaf", "left_semi").join(sets.select("doc_id", "low"), "doc_id").select("leaf", "doc_id", "low")
+        down = now.join(split, "leaf", "left_semi").join(sets.select("sid", "low"), "sid").select("leaf", "sid", "low")
 
         def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 paths = [next_paths(s, p, threshold).astype(np.int64) for p, s in zip(batch.column(0).to_pylist(), binary_rows(batch.column(2)))]
                 if paths:
                     ids = np.repeat(batch.column(1).to_numpy(), [len(p) for p in paths])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.array(ids)], names=["leaf", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.array(ids)], names=["leaf", "sid"])
 
-        now = materialize(down.mapInArrow(descend, "leaf long, doc_id long").distinct())
+        now = materialize(down.mapInArrow(descend, "leaf long, sid long").distinct())
     return out
 
 
@@ -190,11 +196,14 @@ def _blocks(g: pa.Table) -> tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]
 
 
 def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, depth: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, n) link counts and (a, b) forest edges of the classes in ``sets``."""
+    """(id, n) link counts and (a, b) forest edges of the classes in ``sets``, by their sid."""
     at = leaves(sets, threshold, leaf_rows, depth)
-    known = at.groupBy("doc_id").agg(F.sort_array(F.collect_set("leaf")).alias("known"))
-    light = materialize(known.join(sets.select("doc_id", "n", "low"), "doc_id"))
-    rows = in_blocks(at.distinct(), ["leaf"], leaf_rows, "doc_id").join(light, "doc_id")
+    known = materialize(at.groupBy("sid").agg(F.sort_array(F.collect_set("leaf")).alias("known")))
+    light = materialize(known.join(sets.select("sid", "n", "low"), "sid"))
+    # two sets with one first leaf have met there: later leaves pair only those of unlike ones
+    first = F.explode("known").alias("leaf"), F.get("known", F.lit(0)).alias("first")
+    met = known.select("sid", *first).withColumn("met", F.when(F.col("first") < F.col("leaf"), F.col("first"))).drop("first")
+    rows = in_blocks(met, ["leaf"], leaf_rows, "sid", "met").join(light, "sid")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, LEAF):
@@ -212,17 +221,16 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
             i, j = np.nonzero(some)
             hit = np.unique(np.concatenate([left[i], right[j]]))
             if len(hit):
-                yield pa.RecordBatch.from_arrays([g.column(c).combine_chunks().take(pa.array(hit)) for c in (*LEAF, "block", "doc_id")], names=[*LEAF, "block", "doc_id"])
+                yield pa.RecordBatch.from_arrays([g.column(c).combine_chunks().take(pa.array(hit)) for c in (*LEAF, "block", "sid")], names=[*LEAF, "block", "sid"])
 
-    found = materialize(together(rows.select(*LEAF, "block", "doc_id", "n", "low", "known"), LEAF).mapInArrow(sketch, "leaf long, block_a int, block_b int, block int, doc_id long"))
-    wanted = found.select("doc_id").distinct().join(light.select("doc_id", "n", "known"), "doc_id").join(sets.select("doc_id", "weight"), "doc_id")
+    found = materialize(together(rows.select(*LEAF, "block", "sid", "n", "low", "known"), LEAF).mapInArrow(sketch, "leaf long, block_a int, block_b int, block int, sid long"))
+    wanted = found.select("sid").distinct().join(light.select("sid", "n", "known"), "sid").join(sets.select("sid", "weight", "doc_id", "k1", "k2"), "sid")
     whole = materialize(with_sets(docs, wanted, text))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, LEAF):
-            # rows that repeat an id: the first whose set has the class's size stands for it
-            fits = np.flatnonzero(pc.binary_length(g.column("tokens")).to_numpy() == 8 * g.column("n").to_numpy().astype(np.int64))
-            g = g.take(pa.array(fits[np.unique(g.column("doc_id").to_numpy()[fits], return_index=True)[1]]))
+            # a text that repeats under its id gives the same set again: one row stands for it
+            g = g.take(pa.array(np.unique(g.column("sid").to_numpy(), return_index=True)[1]))
             if g.num_rows < 2:
                 continue
             leaf, same, left, right, n = _blocks(g)
@@ -235,7 +243,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
             if not len(i):
                 continue
             i, j = left[i], right[j]
-            ids, weight = g.column("doc_id").to_numpy(), g.column("weight").to_numpy()
+            ids, weight = g.column("sid").to_numpy(), g.column("weight").to_numpy()
             count = np.bincount(i, weight[j], g.num_rows) + np.bincount(j, weight[i], g.num_rows)
             order = np.argsort(ids, kind="stable")
             place = np.empty(len(ids), np.int64)
@@ -244,33 +252,51 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
             hit = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[root[hit]]), pa.array(count[hit].astype(np.int64))], names=["id", "root", "n"])
 
-    judged = materialize(together(found.join(whole, "doc_id"), LEAF).mapInArrow(exact, "id long, root long, n long"))
+    judged = materialize(together(found.join(whole, "sid"), LEAF).mapInArrow(exact, "id long, root long, n long"))
     return judged.groupBy("id").agg(F.sum("n").alias("n")), judged.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, leaf_rows: int = 256, depth: int = 3, text: str = "text") -> DataFrame:
-    """(doc_id, n_links, class_id, component_id, kept) of every row: how many other rows link with
-    it, the smallest doc_id with an equal set, and the smallest doc_id that links reach."""
+def classes(docs: DataFrame, threshold: float, recall: float, leaf_rows: int, depth: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: what ``describe`` says of every row, and per set_key its class: class_id,
+    n_links, component_id, and ``kept``, the (doc_id, k1, k2) of the row that stands for the
+    component."""
     described = materialize(describe(docs, runs_for(threshold, recall, depth), threshold, text))
     usable = described.filter("n > 0 and doc_id is not null")
     sets = usable.groupBy("set_key", "n").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("low").alias("low"), F.first("alike").alias("alike"), F.first("paths").alias("paths")
+        F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.count("*").alias("weight"), F.first("low").alias("low"), F.first("alike").alias("alike"), F.first("paths").alias("paths")
     )
-    sets = materialize(sets)
+    # a number of its own names each set: an id may repeat, with texts of several sets
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("sid"), "set_key", "n", "rep.*", "weight", "low", "alike", "paths"))
     counts, edges = links(docs.select("doc_id", text), sets, threshold, leaf_rows, depth, text)
     parts = components(edges)
-    per = sets.select("set_key", "doc_id", "weight").join(counts.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    per = materialize(per.select("set_key", F.col("doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id")))
-    members = usable.select("doc_id", "set_key").join(per, "set_key").select("doc_id", "n_links", "class_id", "component_id")
-    alone = described.filter("not (n > 0 and doc_id is not null)").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    per = sets.select("sid", "set_key", "doc_id", "k1", "k2", "weight").join(counts.withColumnRenamed("id", "sid"), "sid", "left").join(parts.withColumnRenamed("id", "sid"), "sid", "left")
+    per = materialize(per.select("set_key", "doc_id", "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "sid").alias("part")))
+    first = materialize(per.groupBy("part").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("kept")))
+    return described, materialize(per.join(first, "part").select("set_key", F.col("doc_id").alias("class_id"), "n_links", F.col("kept.doc_id").alias("component_id"), "kept"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, leaf_rows: int = 256, depth: int = 3, text: str = "text") -> DataFrame:
+    """(doc_id, n_links, class_id, component_id, kept) of every row: how many other rows link with
+    it, the smallest doc_id with an equal set, and the smallest doc_id that links reach."""
+    described, per = classes(docs, threshold, recall, leaf_rows, depth, text)
+    linked = F.col("n") > 0
+    members = described.filter(linked & F.col("doc_id").isNotNull()).select("doc_id", "set_key").join(per, "set_key").select("doc_id", "n_links", "class_id", "component_id")
+    alone = described.filter(~linked | F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     both = members.unionByName(alone)
     return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The pipeline's form: one row of each group stays, that of the smallest doc_id."""
-    gone = materialize(jaccard_join(docs, **options).filter("not kept").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = materialize(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def deduplicated(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, leaf_rows: int = 256, depth: int = 3, text: str = "text") -> DataFrame:
+    """The pipeline's form: of each group one row stays, of its smallest doc_id. Rows are told
+    apart by id and text, so unlike texts under one id each stand for themselves; rows that repeat
+    both count as one. Rows that link with nothing (no words, no id) all stay."""
+    described, per = classes(docs, threshold, recall, leaf_rows, depth, text)
+    usable = described.filter("n > 0 and doc_id is not null").select("doc_id", "k1", "k2", "set_key")
+    own = F.struct("doc_id", "k1", "k2")
+    gone = materialize(usable.join(per.select("set_key", "kept"), "set_key").filter(own != F.col("kept")).select("doc_id", "k1", "k2").distinct())
+    again = materialize(usable.groupBy("doc_id", "k1", "k2").count().filter("count > 1").select("doc_id", "k1", "k2"))
+    key = ["doc_id", "k1", "k2"]
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", *row_keys(text)).join(gone, key, "left_anti")
+    once = rows.join(again, key, "left_anti").select("__row.*")
+    repeated = rows.join(again, key, "left_semi").groupBy(*key).agg(F.first("__row").alias("__row")).select("__row.*")
+    return once.unionByName(repeated)

@@ -6,11 +6,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
@@ -18,10 +19,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh temporary
-    folder only where the session names none (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session
+    (tests) may leave it unset and gets a fresh temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,6 +43,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """Two independent 64-bit hashes ``k1`` and ``k2`` of the columns: one 128-bit key."""
+    return [F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in (1, 2)]
+
+
+def numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... within each (null-safe) key, in no particular order. Ranks
+    are taken per input partition and key and start at the sizes before, so that a hot key is
+    never one task's."""
+    rows = materialize(rows.withColumn("__p", F.spark_partition_id()))
+    per = rows.groupBy("__p", *key).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("__before", before).drop("__n")  # a row per input partition and key
+    local = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__p", *key).orderBy(F.lit(0))) - 1)
+    on = [local[c].eqNullSafe(per[c]) for c in ("__p", *key)]
+    joined = local.join(per, on[0] if len(on) == 1 else reduce(Column.__and__, on))
+    return joined.select(*[local[c] for c in rows.columns if c != "__p"], (F.col("__r") + F.col("__before")).alias(name))
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """Rows set apart: crc32 of the id as text leaves ``remainder`` modulo ``modulus``."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -154,18 +176,36 @@ def shingles(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- groups in blocks
 
-def in_blocks(rows: DataFrame, key: list[str], block_rows: int, by: str) -> DataFrame:
+def in_blocks(rows: DataFrame, key: list[str], block_rows: int, by: str, met: str | None = None) -> DataFrame:
     """Split every group of more than ``block_rows`` rows into blocks by a hash of column ``by``
     and pair the blocks: a row gets the pairs (``block_a`` <= ``block_b``) of its block
     ``block``. Any two rows of a group meet in exactly one pair, and no task gets a whole hot
     group. Only the keys of large groups are kept beside the rows; Spark broadcasts them where
-    they are below its size limit and joins by shuffle, with skew splitting, where not."""
-    large = materialize(rows.groupBy(*key).count().filter(F.col("count") > block_rows).select(*key, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
-    rows = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(71), by), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other)
-    return rows.select(*[c for c in rows.columns if c not in ("blocks", "other")], F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
+    they are below its size limit and joins by shuffle, with skew splitting, where not.
+
+    ``met``: a column whose equal values (not null) say that rows have met elsewhere. Many rows of
+    one such value get blocks of their own, which are not paired with each other, and a group
+    whose rows have all met goes."""
+    rows = rows.withColumn("__met", F.col(met) if met else F.lit(None).cast("long"))
+    families = materialize(rows.groupBy(*key, "__met").agg(F.count("*").alias("n")))
+    many = F.col("__met").isNotNull() & (F.col("n") >= block_rows)
+    if met:
+        new = families.groupBy(*key).agg(F.count("*").alias("f"), F.max("__met").alias("m")).filter("f > 1 or m is null")
+        rows = rows.join(new, key, "left_semi")
+    large = families.groupBy(*key).agg(F.sum("n").alias("all"), F.sum(F.when(many, 0).otherwise(F.col("n"))).alias("rest")).filter(F.col("all") > block_rows)
+    large = large.select(*key, F.ceil(F.col("rest") / block_rows).cast("int").alias("__rest"))
+    own = families.filter(many).join(large, key).withColumn("__own", F.ceil(F.col("n") / block_rows).cast("int"))
+    upto = F.sum("__own").over(Window.partitionBy(*key).orderBy("__met").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    own = materialize(own.select(*key, "__met", "__own", (F.col("__rest") + upto - F.col("__own")).alias("__first")))
+    per = materialize(large.join(own.groupBy(*key).agg(F.sum("__own").cast("int").alias("__more")), key, "left").select(*key, "__rest", (F.col("__rest") + F.coalesce("__more", F.lit(0))).alias("__all")))
+    rows = rows.join(per, key, "left").join(own, [*key, "__met"], "left")
+    hash_ = F.xxhash64(F.lit(71), by)
+    block = F.when(F.col("__first").isNotNull(), F.col("__first") + F.pmod(hash_, "__own")).otherwise(F.pmod(hash_, F.greatest(F.coalesce("__rest", F.lit(1)), F.lit(1))))
+    rows = rows.withColumn("block", block.cast("int"))
+    every = F.sequence(F.lit(0), F.coalesce("__all", F.lit(1)) - 1)
+    apart = F.filter(every, lambda x: F.col("__first").isNull() | (x < F.col("__first")) | (x >= F.col("__first") + F.col("__own")))
+    rows = rows.select("*", F.explode(apart).alias("__other"))
+    return rows.select(*[c for c in rows.columns if not c.startswith("__")], F.least("block", "__other").alias("block_a"), F.greatest("block", "__other").alias("block_b"))
 
 
 def together(rows: DataFrame, key: list[str]) -> DataFrame:
