@@ -115,3 +115,20 @@ def test_stages(spark, request, labels, tmp_path, rows):
         out.write.parquet(str(tmp_path / str(n)))
         now = spark.read.parquet(str(tmp_path / str(n)))
     assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_vectors_under_one_id_and_of_two_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (3, [0.01, 1.0, 0.0]), (7, [1.0, 1.0]), (5, [1.0, 1.01]), (9, [0.5])]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True)]
+
+
+def test_texts_under_one_id(spark):
+    a, b = "the quick brown fox jumps over the lazy dog and runs away", "a wholly different text about rivers and the boats that sail on them"
+    rows = [(2, a, 1), (3, a, 2), (3, b, 3), (4, b + " today", 4), (3, b, 5), (5, "", 6), (5, "", 7), (None, a, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
+    got = sorted((r["doc_id"] or 0, r["n_links"], r["class_id"] or 0, r["component_id"] or 0) for r in chosen_path.jaccard_join(df).collect())
+    assert got == [(0, 0, 0, 0), (2, 1, 2, 2), (3, 1, 2, 2), (3, 2, 3, 3), (3, 2, 3, 3), (4, 2, 4, 3), (5, 0, 5, 5), (5, 0, 5, 5)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in chosen_path.deduplicated(df).collect())
+    assert left == [(0, a), (2, a), (3, b), (5, ""), (5, "")]
+    assert chosen_path.deduplicated(df).columns == df.columns

@@ -304,3 +304,25 @@ def test_line_dedup_exact_counts_near_the_threshold(spark):
     rows += [(i, "six sites hold this one", f"s{i}") for i in (4, 5)]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+@pytest.mark.parametrize("offset", [0.0, 1.0, 2.0, 4.0])
+def test_embedding_recall_off_centre(spark, offset):
+    """Pairs at cosine 0.9 to 0.93 after an offset in one direction; at 4 nearly all rows link."""
+    rng = np.random.default_rng(21)
+    common, x = np.zeros(64), []
+    common[3] = offset
+    while len(x) < 1200:
+        v = common + rng.standard_normal(64) / 8
+        z = rng.standard_normal(64)
+        u = v / np.linalg.norm(v)
+        z -= (z @ u) * u
+        c = 0.9 + 0.03 * rng.random()
+        x += [v, c * u + np.sqrt(1 - c * c) * z / np.linalg.norm(z)]
+    x = np.array(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, block_rows=256).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    have = np.array([got[i] for i in range(len(x))])
+    assert (have <= want).all() and have.sum() >= 0.95 * want.sum(), (offset, have.sum(), want.sum())
