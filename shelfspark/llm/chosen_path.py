@@ -203,7 +203,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
     # two sets with one first leaf have met there: later leaves pair only those of unlike ones
     first = F.explode("known").alias("leaf"), F.get("known", F.lit(0)).alias("first")
     met = known.select("sid", *first).withColumn("met", F.when(F.col("first") < F.col("leaf"), F.col("first"))).drop("first")
-    rows = in_blocks(met, ["leaf"], leaf_rows, "sid", "met").join(light, "sid")
+    rows = in_blocks(met, ["leaf"], 2 * leaf_rows, "sid", "met").join(light, "sid")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, LEAF):
