@@ -9,7 +9,8 @@ loopy sum-product messages carry that along the edges, so that repeats get consi
 Every token has at most three edges backwards, so work is linear in the text.
 
 The field's weights maximise the pseudo-likelihood on a bounded sample (``sample_rows`` documents
-that hold a suspicious token, those of least hash), labelled by the base spans. Every whole text
+that hold a suspicious token, those of least hash), labelled by the base spans; half of what it
+counts are tokens with hidden shapes, which earn the skip edges their weights. Every whole text
 is searched; most text is never a node.
 
 Defined cases: null text counts as empty and has no spans; spans of different kinds may overlap,
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -81,6 +84,7 @@ def base_spans(text: str) -> list[Span]:
 
 FEATURES = 24
 CHAIN, SAME, SIMILAR = 0, 1, 2
+MILD = 1.0  # agreement of same and similar tokens where a sample says nothing of it
 
 
 def _features(token: str, before: str) -> list[float]:
@@ -104,15 +108,19 @@ class Graph:
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
         seen: dict[tuple, int] = {}
-        last_end, k = -1, 0
+        last_end = -1
+        ahead = [[s for s in base if s[1] == k] for k in range(len(KINDS))]  # a kind's spans never overlap
+        at = [0] * len(KINDS)
         for m in _SUSPECT.finditer(text):
             start, end = m.span()
             while end > start + 1 and text[end - 1] in ".,;:!?\"'":
                 end -= 1
             token, i = text[start:end], len(self.x)
-            while k < len(base) and base[k][2] <= start and base[k][0] < start:
-                k += 1
-            label = next((s[1] + 1 for s in base[k : k + 8] if s[0] < end and s[2] > start), 0)
+            for k, spans in enumerate(ahead):
+                while at[k] < len(spans) and spans[at[k]][2] <= start:
+                    at[k] += 1
+            over = [spans[n] for spans, n in zip(ahead, at) if n < len(spans) and spans[n][0] < end]
+            label = min(over)[1] + 1 if over else 0
             self.x.append(_features(token, text[max(0, start - 2) : start].rstrip()))
             self.fixed.append(label)
             self.tokens.append((doc, start, end))
@@ -155,37 +163,57 @@ class Field:
     def fit(cls, graph: Graph, steps: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Field:
         """Maximise the pseudo-likelihood of the base labels. A token outside the base spans that
         repeats one inside them is neither labelled nor counted: whether it is personal data is
-        what the field has to tell."""
+        what the field has to tell. Tokens with skip edges are counted a second time with their
+        shape hidden (all features but the constant), so that the edges have to tell their labels
+        and the agreement of same and of similar tokens is learned from the data."""
         x, y, edges = graph.arrays()
         n, k = len(x), len(KINDS) + 1
-        one = np.eye(k)[y]
         tied = edges[edges[:, 2] != CHAIN]
         touched = np.zeros(n, bool)
         touched[tied[y[tied[:, 1]] > 0, 0]] = True
         touched[tied[y[tied[:, 0]] > 0, 1]] = True
         unclear = (y == 0) & touched
-        counts = (~unclear / max(1, int((~unclear).sum())))[:, None]
-        seen = one * ~unclear[:, None]
-        around = np.zeros((3, n, k))
-        for t in range(3):
-            e = edges[edges[:, 2] == t]
-            np.add.at(around[t], e[:, 0], seen[e[:, 1]])
-            np.add.at(around[t], e[:, 1], seen[e[:, 0]])
-        w, c, a = np.zeros((FEATURES, k)), np.zeros((k, k)), np.ones(2)
+        around = cls._around(graph, np.eye(k)[y] * ~unclear[:, None])
+        hide = np.flatnonzero((around[1:].sum((0, 2)) > 0) & ~unclear)
+        hidden = np.zeros((len(hide), FEATURES))
+        hidden[:, 0] = 1
+        clear = np.flatnonzero(~unclear)
+        x, one = np.concatenate([x[clear], hidden]), np.eye(k)[np.concatenate([y[clear], y[hide]])]
+        around = np.concatenate([around[:, clear], around[:, hide]], 1)
+        counts = np.full(len(x), 1 / max(1, len(x)))
+        w, c, a = np.zeros((FEATURES, k)), np.zeros((k, k)), np.full(2, MILD)
         state = [np.zeros_like(p) for p in (w, c, a, w, c, a)]
         for t in range(1, steps + 1):
-            logits = x @ w + around[0] @ c + a[0] * around[1] + a[1] * around[2]
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            d = (p - one) * counts
-            g_c = around[0].T @ d
-            grads = [x.T @ d + decay * w, (g_c + g_c.T) / 2 + decay * c, np.array([(around[s] * d).sum() for s in (1, 2)]) + decay * (a - 2)]
+            _, grads = cls.loss(x, one, around, counts, w, c, a, decay)
             for i, (param, g) in enumerate(zip((w, c, a), grads)):
                 state[i] = 0.9 * state[i] + 0.1 * g
                 state[i + 3] = 0.999 * state[i + 3] + 0.001 * g * g
                 param -= rate * (state[i] / (1 - 0.9**t)) / (np.sqrt(state[i + 3] / (1 - 0.999**t)) + 1e-8)
         return cls(w, c, np.maximum(a, 0))
 
+    @staticmethod
+    def _around(graph: Graph, seen: np.ndarray) -> np.ndarray:
+        """Per edge kind, the sums of the neighbours' rows of ``seen``."""
+        _, _, edges = graph.arrays()
+        out = np.zeros((3, *seen.shape))
+        for t in range(3):
+            e = edges[edges[:, 2] == t]
+            np.add.at(out[t], e[:, 0], seen[e[:, 1]])
+            np.add.at(out[t], e[:, 1], seen[e[:, 0]])
+        return out
+
+    @staticmethod
+    def loss(x: np.ndarray, one: np.ndarray, around: np.ndarray, counts: np.ndarray, w: np.ndarray, c: np.ndarray, a: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+        """The penalised negative log pseudo-likelihood, and its gradient in w, symmetric c and a."""
+        logits = x @ w + around[0] @ c + a[0] * around[1] + a[1] * around[2]
+        logits -= logits.max(1, keepdims=True)
+        p = np.exp(logits)
+        total = p.sum(1, keepdims=True)
+        value = -(counts * ((logits - np.log(total)) * one).sum(1)).sum() + decay / 2 * ((w * w).sum() + (c * c).sum() + ((a - MILD) ** 2).sum())
+        d = (p / total - one) * counts[:, None]
+        g_c = around[0].T @ d
+        return float(value), [x.T @ d + decay * w, (g_c + g_c.T) / 2 + decay * c, np.array([(around[s] * d).sum() for s in (1, 2)]) + decay * (a - MILD)]
+
     def marginals(self, graph: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
         """Label probabilities of every token by loopy sum-product messages."""
         x, fixed, edges = graph.arrays()
@@ -247,8 +275,9 @@ def text_edge(c: str) -> bool:
 
 def train(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> Field | None:
     """Fit on the documents of least hash that hold a digit or an @; their ids are chosen first."""
-    ids = docs.filter(F.col(text).rlike("[0-9@]")).select("doc_id").orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_only_tokens(text), "doc_id long, text string").toArrow()
+    ids = docs.filter(F.col(text).rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_only_tokens(text), "doc_id long, text string")
+    rows = rows.orderBy(F.xxhash64(F.lit(19), "doc_id", "text"), "doc_id", "text").limit(sample_rows).toArrow()  # an id may repeat
     graph = Graph()
     pairs = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()), key=lambda r: (r[0] is None, r))
     for n, (_, body) in enumerate(pairs):
@@ -265,7 +294,7 @@ def _only_tokens(text: str):
             kept = []
             for body in batch.column(1).to_pylist():
                 parts, end = [], 0
-                for m in _SUSPECT.finditer(body):
+                for m in _SUSPECT.finditer(body or ""):
                     parts.append((" \n " if m.start() > end + 40 else body[end : m.start()]) + m[0])
                     end = m.end()
                 kept.append("".join(parts))
@@ -283,16 +312,17 @@ def find(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            base = [base_spans(t) for t in texts]
-            graph = Graph()
-            if field is not None:
-                for n, t in enumerate(texts):
-                    if _SOME.search(t):
-                        graph.add(n, t, base[n])
-            more = added_spans(graph, field, texts, base)
-            spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in sorted([(*x, True) for x in b_] + [(*x, False) for x in m_])] for b_, m_ in zip(base, more)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
+            for begin, end in slices(batch.column(1)):
+                texts = [t or "" for t in batch.column(1).slice(begin, end - begin).to_pylist()]
+                base = [base_spans(t) for t in texts]
+                graph = Graph()
+                if field is not None:
+                    for n, t in enumerate(texts):
+                        if _SOME.search(t):
+                            graph.add(n, t, base[n])
+                more = added_spans(graph, field, texts, base)
+                spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in sorted([(*x, True) for x in b_] + [(*x, False) for x in m_])] for b_, m_ in zip(base, more)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
 

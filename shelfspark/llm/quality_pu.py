@@ -41,21 +41,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk_gradient(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> np.ndarray:
+    """The gradient to follow at (w, b), logistic loss: of the whole risk while its negative part
+    is not below zero, else of that part's removal."""
+    sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
+    negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
+    minus = np.append(u.T @ su / len(u) - prior * (p.T @ sp) / len(p), su.mean() - prior * sp.mean())
+    plus = prior * np.append(p.T @ (sp - 1) / len(p), (sp - 1).mean())
+    return plus + minus if negative >= 0 else -minus
+
+
 def _nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 800, rate: float = 0.02, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss."""
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    """Adam on the non-negative risk."""
+    w, m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, steps + 1):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-        negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
-        g_minus = np.append(u.T @ su / len(u) - prior * (p.T @ sp) / len(p), su.mean() - prior * sp.mean())
-        g_plus = prior * np.append(p.T @ (sp - 1) / len(p), (sp - 1).mean())
-        g = g_plus + g_minus if negative >= 0 else -g_minus
-        g = g + decay * np.append(w, 0)
+        g = risk_gradient(p, u, prior, w[:-1], w[-1]) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, b
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.5, steps: int = 300) -> float:
@@ -89,9 +92,11 @@ def _sample(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in shape(batch.column(1)).T]], names=["doc_id", *SHAPE])
 
-    # the ids are chosen first and are at most n, so no text is shuffled
-    chosen = ids.select("doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, schema).toArrow()
+    # the ids are chosen first and are at most n, so no text is shuffled; an id may repeat, so the
+    # rows are limited again
+    chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, schema)
+    got = rows.orderBy(F.xxhash64(F.lit(3), *rows.columns), *rows.columns).limit(n).toArrow()
     got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
     return np.stack([got.column(k).to_numpy() for k in SHAPE], 1) if got.num_rows else np.empty((0, len(SHAPE)))
 

@@ -183,6 +183,65 @@ def test_field_carries_labels_to_repeats():
     assert pii.Field.fit(graph).agree.min() > 0
 
 
+def test_messages_equal_enumeration():
+    """Marginals of a chain with a skip edge (a tree: exact) and of a loop (near) by enumeration."""
+    rng = np.random.default_rng(2)
+    for edges, exact in (([(0, 1, 0), (1, 2, 0), (1, 3, 2)], True), ([(0, 1, 0), (1, 2, 0), (0, 2, 1)], False)):
+        graph = pii.Graph()
+        graph.edges, n = edges, 1 + max(b for _, b, _ in edges)
+        graph.x, graph.fixed, graph.tokens = rng.standard_normal((n, pii.FEATURES)).tolist(), [0] * n, [(0, i, i + 1) for i in range(n)]
+        chain = rng.standard_normal((5, 5)) / 2
+        field = pii.Field(rng.standard_normal((pii.FEATURES, 5)) / 4, chain + chain.T, np.array([0.7, 0.5]))
+        unary, table = np.array(graph.x) @ field.unary, field.tables()
+        want = np.zeros((n, 5))
+        for labels in np.ndindex(*[5] * n):
+            weight = np.exp(sum(unary[i, k] for i, k in enumerate(labels)) + sum(table[t][labels[i], labels[j]] for i, j, t in edges))
+            for i, k in enumerate(labels):
+                want[i, k] += weight
+        want /= want.sum(1, keepdims=True)
+        assert np.abs(field.marginals(graph, rounds=200) - want).max() < (1e-3 if exact else 0.12)
+
+
+def test_field_gradient():
+    """The pseudo-likelihood's gradient against finite differences."""
+    rng = np.random.default_rng(4)
+    x, one, around, counts = rng.standard_normal((30, pii.FEATURES)), np.eye(5)[rng.integers(0, 5, 30)], rng.integers(0, 3, (3, 30, 5)).astype(float), np.full(30, 1 / 30)
+    w, c, a = rng.standard_normal((pii.FEATURES, 5)) / 3, rng.standard_normal((5, 5)), np.array([0.4, -0.2])
+    c = c + c.T
+    value = lambda *p: pii.Field.loss(x, one, around, counts, *p, 0.01)[0]
+    _, (g_w, g_c, g_a) = pii.Field.loss(x, one, around, counts, w, c, a, 0.01)
+    e = np.zeros_like(w)
+    e[3, 2] = 1e-6
+    assert abs((value(w + e, c, a) - value(w - e, c, a)) / 2e-6 - g_w[3, 2]) < 1e-6
+    e = np.zeros_like(c)
+    e[1, 3] = e[3, 1] = 1e-6
+    assert abs((value(w, c + e, a) - value(w, c - e, a)) / 2e-6 - 2 * g_c[1, 3]) < 1e-6
+    for s in (0, 1):
+        e = np.eye(2)[s] * 1e-6
+        assert abs((value(w, c, a + e) - value(w, c, a - e)) / 2e-6 - g_a[s]) < 1e-6
+
+
+def test_skip_edges_earn_their_weights(spark):
+    """Both agreements leave their start where tied tokens have labels: same tokens on the given
+    texts (which have no similar ones), similar ones on mail addresses of one domain."""
+    assert pii.train(spark.read.parquet(f"{MIDDLE}/documents.parquet")).agree[0] > pii.MILD + 0.5
+    texts = [f"write to ann{i}@corp{i}.example.com, not to bob{i}@corp{i}.example.com; room {i}, line {i + 3}" for i in range(60)]
+    graph = pii.Graph()
+    for n, t in enumerate(texts):
+        graph.add(n, t, pii.base_spans(t))
+    assert {t for _, _, t in graph.edges} >= {pii.SIMILAR}
+    assert pii.Field.fit(graph).agree[1] > pii.MILD + 0.5
+
+
+def test_long_early_span_hides_no_other():
+    text = "1" * 40 + " " + " ".join(f"10.0.0.{i}" for i in range(30)) + " joe@example.com"
+    graph, base = pii.Graph(), pii.base_spans(text)
+    graph.add(0, text, base)
+    for (_, start, end), fixed in zip(graph.tokens, graph.fixed):
+        over = [s for s in base if s[0] < end and s[2] > start]
+        assert fixed == (min(over)[1] + 1 if over else 0)
+
+
 def test_codec_against_library():
     import public_tokenizers
 
@@ -198,7 +257,8 @@ def test_codec_against_library():
 
 
 def test_codec_compares_every_text(spark, monkeypatch):
-    """A fault in a text whose crc32 64 does not divide; the batches run in this process."""
+    """A fault in a text whose crc32 64 does not divide gives way to the library; the batches run in
+    this process."""
     import public_tokenizers
 
     path, text = public_tokenizers.path("piece_bpe_32k.model"), "a text with a fault in its pieces"
@@ -208,12 +268,25 @@ def test_codec_compares_every_text(spark, monkeypatch):
     right = vocab.encode
     monkeypatch.setattr(vocab, "encode", lambda texts: (right(texts)[0][::-1], right(texts)[1]))
     monkeypatch.setattr(sentencepiece_codec, "vocabulary", lambda model: vocab)
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [text, "x"]})
     here = SimpleNamespace(columns=["doc_id", "text"], schema=T.StructType().add("doc_id", "long"), sparkSession=spark)
     here.select = lambda *c: here
     here.mapInArrow = lambda run, schema: list(run(iter([batch])))
-    with pytest.raises(ValueError, match="differs from the sentencepiece library"):
-        sentencepiece_codec.encode_decode(here, path)
+    differing = spark.sparkContext.accumulator(0)
+    (out,) = sentencepiece_codec.encode_decode(here, path, differing=differing)
+    assert out.column("ids").to_pylist() == vocab.library.encode([text, "x"]) and out.column("decoded").to_pylist() == [text, "x"]
+    assert differing.value >= 1
+
+
+def test_codec_refuses_models_that_normalise(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, t: "▁" + t.strip())
+    with pytest.raises(ValueError, match="normalises"):
+        sentencepiece_codec.MergeVocabulary(model)
 
 
 @pytest.mark.parametrize(("op", "label", "least"), [(quality_pu, "quality", 0.97), (toxicity, "toxic", 0.9)])
@@ -326,3 +399,61 @@ def test_embedding_recall_off_centre(spark, offset):
     want = (x @ x.T >= 0.9).sum(1) - 1
     have = np.array([got[i] for i in range(len(x))])
     assert (have <= want).all() and have.sum() >= 0.95 * want.sum(), (offset, have.sum(), want.sum())
+
+
+def test_label_model_recovers_accuracies_and_pairs():
+    """Simulated votes: voters of known accuracy, one that copies another, one that guesses."""
+    rng = np.random.default_rng(3)
+    n, right = 60000, [0.9, 0.8, 0.75, 0.85, 0.5]
+    y = np.where(rng.random(n) < 0.2, 1, -1)
+    v = np.stack([np.where(rng.random(n) < a, y, -y) for a in right], 1)
+    v = np.concatenate([v, np.where(rng.random(n) < 0.9, v[:, 0], -v[:, 0])[:, None]], 1)
+    v[rng.random(v.shape) < 0.3] = 0
+    patterns, counts = np.unique(v, axis=0, return_counts=True)
+    model = toxicity.LabelModel(patterns, counts.astype(float))
+    assert (0, 5) in model.cliques and sum(len(c) == 2 for c in model.cliques) == 1
+    assert abs(model.prior - 0.2) < 0.03
+    for c, t in zip(model.cliques, model.tables):
+        if len(c) == 1:
+            p = np.exp(t)
+            assert abs(p[1][2] / (p[1][0] + p[1][2]) - right[c[0]]) < 0.04
+    # the posterior equals Bayes' rule by enumeration over the factors
+    for row in patterns[:50]:
+        weight = [np.log(1 - model.prior), np.log(model.prior)]
+        for c, t in zip(model.cliques, model.tables):
+            for label in (0, 1):
+                weight[label] += t[label][sum((row[k] + 1) * 3**i for i, k in enumerate(c))]
+        assert abs(model.posterior(row[None])[0] - 1 / (1 + np.exp(weight[0] - weight[1]))) < 1e-9
+
+
+def test_voters_speak_apart():
+    words = toxicity.seed_keys()
+    voters = toxicity.Voters(np.unique(words))
+    texts = pa.array(["such an 1d10t he is", "I will KILL  you tomorrow", "THIS IS LOUD AND ALL IN CAPITALS", "a calm text about rivers and boats", None, "", "shut", "what a moron and a moron"])
+    doc, place, n = voters.hits(texts)
+    signs = voters.signs(texts, n)
+    assert signs.tolist() == [[True, False, False], [False, True, False], [False, False, True], *[[False] * 3] * 5]
+    votes = voters.votes(doc, place, n, signs)
+    k = voters.WORDS + voters.STEMS
+    assert votes.shape[1] == voters.number and (votes[:3, :k] == 0).all()
+    assert votes[:, k + 1].tolist() == [1, 0, 0, 0, 0, 0, 0, 0] and votes[:, k].tolist() == [0, 0, 0, 0, 0, 0, 1, 1]
+    assert len(np.unique(votes, axis=0)) <= voters.PATTERNS and votes[7, k + 4] == 1 and votes[3, k + 6] == -1
+
+
+def test_quality_risk_gradient_and_prior():
+    """The steps follow the non-negative risk: its gradient against finite differences, the estimated
+    prior and the ranking on a mixture whose prior is known."""
+    rng = np.random.default_rng(5)
+    p, u = rng.standard_normal((40, 3)) + 0.5, rng.standard_normal((60, 3))
+    for prior, w in ((0.3, np.array([0.3, -0.2, 0.5, 0.1])), (0.9, np.array([2.0, 2.0, 2.0, -3.0]))):
+        g = quality_pu.risk_gradient(p, u, prior, w[:-1], w[-1])
+        def risk(z):
+            soft = lambda x: np.log1p(np.exp(x))
+            minus = soft(u @ z[:-1] + z[-1]).mean() - prior * soft(p @ z[:-1] + z[-1]).mean()
+            plus = prior * soft(-(p @ z[:-1] + z[-1])).mean()
+            return plus + minus if minus >= 0 else -minus
+        want = [(risk(w + e) - risk(w - e)) / 2e-6 for e in np.eye(4) * 1e-6]
+        assert np.allclose(g, want, atol=1e-5)
+    good, bad = rng.standard_normal((6000, 3)) + 1.6, rng.standard_normal((6000, 3)) - 1.6
+    mixed = np.concatenate([good[3000:4800], bad[:4200]])
+    assert abs(quality_pu.estimate_prior(good[:3000], mixed) - 0.3) < 0.06
