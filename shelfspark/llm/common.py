@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_keys(*columns: str) -> list[Column]:
+def row_keys(*columns: Column | str) -> list[Column]:
     """Two independent 64-bit hashes ``k1`` and ``k2`` of the columns: one 128-bit key."""
     return [F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in (1, 2)]
 

@@ -1,6 +1,6 @@
 """Line deduplication by distinct-site spread.
 
-A line's key is a hash of the trimmed, lower-cased line. Sites per key are counted by HyperLogLog
+A line's key is a 128-bit hash of the trimmed, lower-cased line. Sites per key are counted by HyperLogLog
 sketches that merge in a distributed aggregation; keys whose estimate lies near the threshold get
 exact distinct counts. A key on ``min_sites`` sites or more is cross-site boilerplate: one
 occurrence stays (that of the smallest doc_id, first in its text), all others go.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_keys
 
 
 def _clean(line: Column) -> Column:
@@ -23,7 +23,7 @@ def _clean(line: Column) -> Column:
 
 def _key(line: Column, min_chars: int) -> Column:
     clean = _clean(line)
-    return F.when(F.length(clean) >= min_chars, F.xxhash64(clean))
+    return F.when(F.length(clean) >= min_chars, F.struct(*row_keys(clean)))
 
 
 def _lines(docs: DataFrame, text: str, site: str, min_chars: int) -> DataFrame:

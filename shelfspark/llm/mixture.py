@@ -12,22 +12,24 @@ flight left undecided are the landing problem, at most fourteen documents: all t
 listed and one is drawn, near-balanced ones likelier.
 
 Defined cases: null text has size 0; documents of size 0 take no words and weigh nothing; a null
-source is a source of its own, last; equal sizes and repeated rows are separate units, drawn each;
-an empty table gives an empty result. Results depend on the rows alone, so reruns agree."""
+source is a source of its own, last; a null id is an id like another; equal sizes and repeated rows
+are separate units, drawn each; an empty table gives an empty result. Results depend on the rows alone, so reruns agree."""
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 WEIGHTS = (5, 2, 1)
 LANDING = 12
+UNIT = ["doc_id", "source", "size", "t", "n"]
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -97,12 +99,12 @@ def _land(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarr
 
 
 def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataFrame:
-    """``rows`` (doc_id, source, size, p) with ``p`` moved to 0 or 1, balanced on documents and
-    words within each source."""
-    schema = "doc_id long, source string, size long, p double, level int"
+    """``rows`` (doc_id, source, size, t, n, p) with ``p`` moved to 0 or 1, balanced on documents
+    and words within each source. ``t`` and ``n`` tell rows of one id apart."""
+    schema = "doc_id long, source string, size long, t long, n long, p double, level int"
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "t", "n", "p"], na_position="first", kind="stable").reset_index(drop=True)
         name = f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}:{pdf['level'].iloc[0]}"
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
         order = np.argsort(-pdf["size"].to_numpy(), kind="stable")  # large first, so that small ones are left
@@ -117,47 +119,71 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
             moved[fly_now] = _flight(size[fly_now], p[fly_now], rng)
         back = np.empty(len(pdf))
         back[order] = moved
-        return pdf[["doc_id", "source", "size"]].assign(p=back, level=pdf["level"] + 1)
+        return pdf[UNIT].assign(p=back, level=pdf["level"] + 1)
 
     done, level = None, 0
-    now = rows.select("doc_id", "source", "size", "p", F.lit(0).alias("level"))
+    now = rows.select(*UNIT, "p", F.lit(0).alias("level"))
     while True:
         per = now.groupBy("source").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
         per = materialize(per)
         spread = now.join(per, now.source.eqNullSafe(per.source)).select(now["*"], "blocks")
-        spread = spread.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size"), "blocks").cast("int"))
+        spread = spread.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "t", "n"), "blocks").cast("int"))
         flown = materialize(spread.groupBy("source", "block").applyInPandas(fly, schema))
         settled = flown.filter("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
         now = flown.filter("p > 0 and p < 1")
         level += 1
         if now.isEmpty():
-            return done.select("doc_id", "source", "size", "p")
+            return done.select(*UNIT, "p")
+
+
+def units(docs: DataFrame, text: str, block_rows: int) -> DataFrame:
+    """(doc_id, source, size, t, n) of every row: t is a hash of its text, n its number among equal
+    rows where more than ``block_rows`` are equal (so that they spread over blocks), else 0."""
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(1), text).alias("t"))
+    sizes = materialize(sizes)
+    same = UNIT[:-1]
+    hot = materialize(sizes.groupBy(*same).count().filter(F.col("count") > block_rows).select(*same))
+    if hot.isEmpty():
+        return sizes.withColumn("n", F.lit(0).cast("long"))
+    many = numbered(sizes.join(hot, equal(sizes, hot, same), "left_semi"), same, "n").withColumn("n", F.col("n").cast("long"))
+    return materialize(sizes.join(hot, equal(sizes, hot, same), "left_anti").withColumn("n", F.lit(0).cast("long")).unionByName(many))
 
 
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, block_rows: int = 256) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row of ``docs``."""
-    sizes = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    """(doc_id, source, size, t, n, source_size, target, copies) of every row of ``docs``; t and n
+    are those of ``units``."""
+    sizes = units(docs, text, block_rows)
     targets = materialize(source_targets(sizes, weights, cap))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.join(targets, sizes.source.eqNullSafe(targets.source)).select(sizes["*"], "source_size", "target", factor.alias("factor"))
     whole = F.floor(F.col("factor") + 1e-9)
     rows = rows.withColumn("whole", whole).withColumn("p", F.greatest(F.col("factor") - F.col("whole"), F.lit(0.0)))
     drawn = (F.col("size") > 0) & (F.col("p") > 1e-9)
-    still = rows.filter(~drawn).select("doc_id", "source", "size", F.lit(0.0).alias("p"))
+    still = rows.filter(~drawn).select(*UNIT, F.lit(0.0).alias("p"))
     taken = cube_sample(rows.filter(drawn), block_rows).unionByName(still)
     out = taken.join(targets, taken.source.eqNullSafe(targets.source)).select(taken["*"], "source_size", "target", factor.alias("factor"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, whole + F.col("p")).otherwise(0).cast("int").alias("copies"))
+    return out.select(*UNIT, "source_size", "target", F.when(F.col("size") > 0, whole + F.col("p")).otherwise(0).cast("int").alias("copies"))
 
 
 def remix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    copies = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    # rows that share an id share their copies, the earlier ones (by text) taking what does not divide
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text"))
-    repeated = materialize(copies.filter("__rows > 1").select("doc_id"))
-    once = docs.join(copies.filter("__rows = 1"), "doc_id").withColumn("__place", F.lit(1))
-    many = docs.join(repeated, "doc_id", "left_semi").withColumn("__place", place).join(copies, "doc_id")
-    both = once.unionByName(many.select(*once.columns))
-    own = F.floor((F.col("__copies") + F.col("__rows") - F.col("__place")) / F.col("__rows")).cast("int")
-    return both.withColumn("__own", own).filter("__own > 0").withColumn("__each", F.explode(F.sequence(F.lit(1), "__own"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it. Rows are told apart by id (a null id
+    is one like others), source and text; rows equal in all three share their copies, and those of
+    the first numbers take what does not divide."""
+    key = ["__id", "__source", "__t"]
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64(F.lit(1), "text").alias("__t"))
+    taken = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("t").alias("__t"))
+    taken = materialize(taken.agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")))
+    again = materialize(taken.filter("__rows > 1").select(*key))
+    placed = rows.withColumn("__place", F.lit(0))
+    if not again.isEmpty():
+        many = numbered(rows.join(again, equal(rows, again, key), "left_semi"), key, "__place")
+        placed = placed.join(again, equal(placed, again, key), "left_anti").unionByName(many)
+    own = F.floor((F.col("__copies") + F.col("__rows") - 1 - F.col("__place")) / F.col("__rows")).cast("int")
+    both = placed.join(taken, equal(placed, taken, key)).select("__row", own.alias("__own"))
+    return both.filter("__own > 0").select("__row", F.explode(F.sequence(F.lit(1), "__own"))).select("__row.*")
+
+
+def equal(a: DataFrame, b: DataFrame, on: list[str]) -> Column:
+    """Null-safe equality of the columns ``on``."""
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in on])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_keys
 
 URL = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?(/[^?#]*)?"
 
@@ -55,7 +55,7 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame, bucket_days: in
     depth, latest = entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0, captures.agg(F.max("fetched_at").alias("t")).first()[0]
     rules = materialize(intervals(entries, bucket_days, F.lit(latest).cast("timestamp")))
     seen = captures.select(F.col(id).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "fetched_at")
-    seen = seen.withColumn("row", F.xxhash64("id", "host", "path", "fetched_at"))
+    seen = seen.withColumn("row", F.struct(*row_keys("id", "host", "path", "fetched_at")))
     labels = F.split("host", "\\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.filter(F.split("path", "/"), lambda x: x != "")

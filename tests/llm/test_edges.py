@@ -102,6 +102,36 @@ def test_mixture(docs, empty):
     assert {r["copies"] for r in got if r["size"] == 0} <= {0}
     assert mixture.mix(empty).count() == 0
     assert mixture.remix(docs).columns == docs.columns and mixture.remix(empty).count() == 0
+    taken = lambda rows: sorted((r["doc_id"] or 0, r["text"] or "") for r in rows for _ in range(r.asDict().get("copies", 1)))
+    texts = {r["t"]: r["text"] for r in docs.select("text", F.xxhash64(F.lit(1), "text").alias("t")).collect()}
+    want = sorted((r["doc_id"] or 0, texts[r["t"]] or "") for r in got for _ in range(r["copies"]))
+    assert taken(mixture.remix(docs).collect()) == want and any(i == 0 for i, _ in want)
+
+
+def test_mixture_of_equal_rows(spark):
+    """A third of all rows are one row, and one id has many texts: each row is drawn for itself."""
+    rows = [(7, "one two three", "a")] * 900 + [(8, f"word {'x ' * (i % 5)}{i}", "a") for i in range(900)] + [(None, f"b {i}", "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixture.mix(df).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source"):
+        assert abs((g["copies"] * g["size"]).sum() - g["target"].iloc[0]) <= 0.01 * g["target"].iloc[0]
+    assert mixture.remix(df).count() == got["copies"].sum()
+    again = mixture.mix(df.repartition(3)).toPandas()
+    key = ["doc_id", "size", "t", "n"]
+    assert got.sort_values(key)["copies"].tolist() == again.sort_values(key)["copies"].tolist()
+
+
+def test_values_on_edge_rows(spark, docs):
+    """What line dedup and personal data return on nulls, repeats and a null id."""
+    n = docs.count()
+    lines = line_dedup.line_dedup(docs, min_sites=2).collect()
+    assert len(lines) == n and {r["doc_id"]: r["n_lines"] for r in lines}[9] == 101
+    gone = sorted((r["doc_id"] or 0, r["n_removed"]) for r in lines if r["n_removed"])
+    assert gone == [(0, 1), (2, 1)]  # rows of id 1 count as one document, the first that has the line
+    rows = spark.createDataFrame([(1, "a@b.c and 10.0.0.1"), (1, None), (None, "x@y.z"), (2, "")], "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["spans"]) for r in pii.digest(pii.detect(rows)).collect())
+    assert out == [(0, 1, 0, "email:0:5"), (1, 0, 0, ""), (1, 1, 1, "email:0:5,ip:10:18"), (2, 0, 0, "")]
 
 
 @pytest.mark.parametrize("rows", ["docs", "empty"])
