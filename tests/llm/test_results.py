@@ -86,7 +86,7 @@ def test_topk_many_pages(spark):
     rows = [(i, (rng.integers(-3, 4, 8) / 4).tolist()) for i in range(1500)]  # many ties
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in exact_topk.exact_topk(df, F.col("vec_id") % 100 == 0, page_rows=100, block_queries=4).orderBy("query_id", "rank").collect():
+    for r in exact_topk.exact_topk(df, F.col("vec_id") % 100 == 0, page_rows=100, block_queries=4, fan=8).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     x = np.floor(np.array([v for _, v in rows]) * 1024).astype(int)
     for q in range(0, 1500, 100):
@@ -95,6 +95,26 @@ def test_topk_many_pages(spark):
         assert got[q] == [(i, -v) for v, i in want]
 
 
+def test_topk_leaves_out_most_pages(spark):
+    """Clustered rows: the tree has inner levels, and blocks visit less than half of its nodes."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((60, 16)) * 4
+    x = np.concatenate([centres[i % 60] + rng.standard_normal(16) / 8 for i in range(6000)]).reshape(6000, 16)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = exact_topk.integers(rows, 1024, "vec_id", "embedding")
+    best, pairs, tree = exact_topk.search(v, v.filter("id % 100 = 0"), 16, 10, block_queries=8, fan=6, page_rows=100)
+    assert len(tree.levels) >= 2 and tree.pages.count() >= 60
+    share = pairs.count() / (tree.pages.count() * pairs.select("block").distinct().count())
+    assert share < 0.5, share
+    got = defaultdict(list)
+    for r in best.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    n = np.floor(x * 1024).astype(np.int64)
+    for q in range(0, 6000, 100):
+        s = n @ n[q]
+        assert got[q] == [(i, -b) for b, i in sorted((-s[i], i) for i in range(6000) if i != q)[:10]]
+
+
 def _sets(docs):
     out = {}
     for i, t in docs:
