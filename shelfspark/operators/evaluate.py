@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import tokens
 
-def intent_of(keyword: Column, identifier: Column, filters: Column) -> Column:
-    """lookup, identifier, browse, browse_filter or filter_only."""
-    return F.when(identifier.isNotNull(), "identifier").when(keyword.isNull() & (filters > 0), "filter_only").when(filters > 0, "browse_filter").when(F.regexp_like(keyword, F.lit("[0-9]")), "lookup").otherwise("browse")
+
+# fixed values: case classes that browse
+BROWSE = ("family", "broad", "spec_only", "model_spec", "typed_spec", "facet", "range")
+
+
+def intent_of(given: Column, identifier: Column, keyword: Column, filters: Column, case_class: Column) -> Column:
+    """lookup, identifier, browse, browse_filter or filter_only; an intent given by hand stands."""
+    identified = identifier.isNotNull() | (case_class == "identifier")
+    worded = F.when(filters > 0, "browse_filter").when(case_class.isin(*BROWSE), "browse").otherwise("lookup")
+    return F.coalesce(given, F.when(identified, "identifier").when(keyword.isNull() | (keyword == ""), "filter_only").otherwise(worded))
+
+
+def cost_class(keyword: Column, spec_only: Column) -> Column:
+    """Predicted cost of a request: a plain listing, a model number, or anything else."""
+    model = F.exists(tokens(keyword), lambda t: F.regexp_like(t, F.lit("^[a-z]{0,5}[0-9]{3,5}[a-z0-9]{0,4}$")))
+    return F.when(keyword.isNull(), "bootstrap").when(~spec_only & model, "normal").otherwise("expensive")
 
 
 def first_ranks(cases: DataFrame, results: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import ranked
+
 
 def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
@@ -100,13 +102,8 @@ def next_batch(changes: DataFrame, key: str, size: int) -> DataFrame:
 
 def assign_ids(new: DataFrame, highest: int, key: str = "upstream_key") -> DataFrame:
     """``new`` with ``id``: the high-water mark plus the rank by key, without a single-partition
-    window: ranges are sorted apart, ranks start at the sizes of the ranges before."""
-    n = new.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = new.repartitionByRange(int(n), key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))  # a row per partition
-    return local.join(F.broadcast(before.select("__p", "__before")), "__p").withColumn("id", F.lit(highest) + F.coalesce("__before", F.lit(0)) + F.col("__r")).drop("__p", "__r", "__before")
+    window; the ranges are stored once, so ids are neither skipped nor given twice."""
+    return ranked(new, [], [F.col(key)], "__r").withColumn("id", F.lit(highest) + F.col("__r")).drop("__r")
 
 
 def verify_state(planned: DataFrame, targets: DataFrame, stored: DataFrame, baseline: DataFrame, key: str = "upstream_key") -> DataFrame:

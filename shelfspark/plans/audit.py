@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import order as O
 from .base import Catalog, query
 
 FIELDS = ("name", "series", "release_year", "size_mm")
@@ -43,14 +44,17 @@ def completeness_by_manufacturer(c: Catalog) -> DataFrame:
 
 
 @query(
-    """SELECT type, CASE WHEN type = 'mpn' THEN lower(manufacturer) END AS vendor, value_key, count(DISTINCT i.product_id) AS products, string_agg(DISTINCT CAST(i.product_id AS VARCHAR), ',' ORDER BY CAST(i.product_id AS VARCHAR)) AS evidence
-    FROM v_identifiers i JOIN v_products p ON i.product_id = p.product_id GROUP BY 1, 2, 3 HAVING count(DISTINCT i.product_id) > 1"""
+    """WITH g AS (SELECT DISTINCT type, CASE WHEN type = 'mpn' THEN lower(manufacturer) END AS vendor, value_key, i.product_id FROM v_identifiers i JOIN v_products p ON i.product_id = p.product_id),
+    n AS (SELECT type, vendor, value_key, count(*) AS products FROM g GROUP BY 1, 2, 3 HAVING count(*) > 1)
+    SELECT g.type, g.vendor, g.value_key, products, product_id FROM g JOIN n ON g.type = n.type AND g.vendor IS NOT DISTINCT FROM n.vendor AND g.value_key = n.value_key"""
 )
 def duplicate_identifiers(c: Catalog) -> DataFrame:
-    rows = c.identifiers.join(c.products.select("product_id", "manufacturer"), "product_id")
+    """Evidence as rows: a key that very many products share has as many rows and no long list."""
     vendor = F.when(F.col("type") == "mpn", C.name_key(F.col("manufacturer")))
-    g = rows.groupBy("type", vendor.alias("vendor"), "value_key").agg(F.count_distinct("product_id").alias("products"), F.array_join(F.array_sort(F.collect_set(F.col("product_id").cast("string"))), ",").alias("evidence"))
-    return g.filter("products > 1")
+    rows = c.identifiers.join(c.products.select("product_id", "manufacturer"), "product_id").select("type", vendor.alias("vendor"), "value_key", "product_id").distinct()
+    many = rows.groupBy("type", "vendor", "value_key").agg(F.count("*").alias("products")).filter("products > 1")
+    same = (rows["type"] == many["type"]) & rows["vendor"].eqNullSafe(many["vendor"]) & (rows["value_key"] == many["value_key"])
+    return rows.join(many, same).select(rows["*"], "products")
 
 
 @query(
@@ -73,32 +77,13 @@ def duplicate_summary(c: Catalog) -> DataFrame:
     return c.identifiers.join(groups, ["type", "value_key"], "left_semi").groupBy("type").agg(F.count_distinct("value_key").alias("conflicts"), F.count_distinct("product_id").alias("products"))
 
 
-def fingerprint(rows: DataFrame, text: Column, by: str, buckets: int = 64) -> DataFrame:
-    """(by, rows, digest): order-independent; rows hash into buckets, buckets hash into one, so no
-    task sorts a whole group."""
-    row = rows.select(by, F.sha2(text.cast("binary"), 256).alias("h"))
-    bucket = F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % buckets
-    per = row.groupBy(by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("d"))
-    tied = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
-    return per.groupBy(by).agg(F.sum("n").alias("rows"), F.sha2(tied.cast("binary"), 256).alias("digest"))
-
-
 @query(
-    """WITH h AS (SELECT category, sha256(concat_ws('|', product_id, name, manufacturer)) AS h FROM v_products), b AS (SELECT category, CAST(('0x' || substr(h, 1, 2)) AS INT) % 64 AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2)
-    SELECT category, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b GROUP BY 1"""
+    """WITH a AS (SELECT category, sha256(concat_ws('|', product_id, name, manufacturer)) AS h FROM v_products),
+    b AS (SELECT category, substr(h, 1, 6) AS place, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM a GROUP BY 1, 2), d AS (SELECT category, substr(place, 1, 3) AS place, sha256(string_agg(h, '' ORDER BY place)) AS h, sum(n) AS n FROM b GROUP BY category, substr(place, 1, 3))
+    SELECT category, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY place)) AS digest FROM d GROUP BY 1"""
 )
 def table_fingerprint(c: Catalog) -> DataFrame:
-    return fingerprint(c.products, F.concat_ws("|", "product_id", "name", "manufacturer"), "category")
-
-
-def nearest_rank(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles and the maximum per group (never interpolated). Values are counted
-    first; what is ranked is one row per distinct value."""
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
-    cols = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("all"))), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return upto.groupBy(by).agg(*cols, F.max(value).alias("largest"))
+    return O.fingerprint(c.products, F.concat_ws("|", "product_id", "name", "manufacturer"), "category")
 
 
 @query(
@@ -106,7 +91,7 @@ def nearest_rank(rows: DataFrame, by: str, value: str, quantiles: dict[str, floa
     SELECT class, min(cost) FILTER (WHERE rn >= greatest(1, ceil(0.5 * n))) AS median, min(cost) FILTER (WHERE rn >= greatest(1, ceil(0.95 * n))) AS p95, max(cost) AS largest FROM r GROUP BY class"""
 )
 def quantile_nearest(c: Catalog) -> DataFrame:
-    return nearest_rank(c.events, "class", "cost", {"median": 0.5, "p95": 0.95})
+    return O.nearest_rank(c.events, "class", "cost", {"median": 0.5, "p95": 0.95})
 
 
 @query(

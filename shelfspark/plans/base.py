@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.order import stored
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+STORED: dict[tuple[str, str, str], tuple] = {}
 
 VIEWS = {
     "v_products": """SELECT p_partkey AS product_id, 'part' AS source, concat('K', p_partkey) AS upstream_key, lower(p_type) AS category,
@@ -32,6 +35,18 @@ VIEWS = {
         UNION ALL SELECT concat('K', p_partkey + 1000000), lower(p_type), p_name, p_brand, p_retailprice, p_size, 0 FROM {part} WHERE p_partkey % 23 = 0""",
     "v_offers": """SELECT l_orderkey * 8 + l_linenumber AS offer_id, l_partkey AS product_id, l_suppkey AS seller_id, CAST(round(l_extendedprice / l_quantity) AS BIGINT) AS price,
         l_returnflag <> 'R' AS in_stock, CASE WHEN l_linestatus = 'F' THEN 'new' ELSE 'used' END AS condition, l_shipdate AS observed_at FROM {lineitem}""",
+    "v_asks": """SELECT p_partkey AS query_id, CASE p_partkey % 8 WHEN 0 THEN 'memory' WHEN 1 THEN 'storage' WHEN 2 THEN 'gpu' WHEN 3 THEN 'psu' WHEN 4 THEN 'case_fan' WHEN 5 THEN 'cpu_cooler' WHEN 6 THEN 'motherboard' ELSE 'cpu' END AS category,
+        p_size AS size, split_part(p_name, ' ', 1) AS word, CASE p_partkey % 8
+        WHEN 0 THEN CASE WHEN p_partkey % 48 = 0 THEN concat(split_part(p_name, ' ', 1), ' 8gb 16gb') ELSE concat(split_part(p_name, ' ', 1), ' ', 8 + p_size % 8, CASE WHEN p_size % 2 = 0 THEN 'GB' ELSE ' gb' END, ' DDR', 3 + p_size % 3, ' ', 1600 + 100 * (p_size % 40), CASE p_size % 3 WHEN 0 THEN 'MHz' WHEN 1 THEN ' MT/s' ELSE '' END, ' CL', 14 + p_size % 20) END
+        WHEN 1 THEN concat(1 + p_size % 4, CASE WHEN p_size % 2 = 0 THEN 'TB' ELSE ' tb' END, ' ', split_part(p_name, ' ', 1), CASE WHEN p_size % 3 = 0 THEN ' NVMe' ELSE '' END)
+        WHEN 2 THEN concat('rtx', 5000 + p_size, ' ', 4 + p_size % 12, 'GB')
+        WHEN 3 THEN concat(400 + 10 * p_size, 'W ', CASE p_size % 3 WHEN 0 THEN '80+ Gold' WHEN 1 THEN 'bronze' ELSE split_part(p_name, ' ', 1) END, CASE WHEN p_size % 2 = 0 THEN ' SFX-L psu' ELSE ' atx' END)
+        WHEN 4 THEN concat(split_part(p_name, ' ', 1), ' ', 60 + p_size, CASE WHEN p_size % 2 = 0 THEN ' mm PWM' ELSE 'mm' END, ' fan')
+        WHEN 5 THEN CASE p_size % 3 WHEN 0 THEN 'AIO 360 cooler' WHEN 1 THEN concat('air ', 80 + p_size, 'mm cooler master') ELSE concat('cooler ', split_part(p_name, ' ', 1)) END
+        WHEN 6 THEN concat(CASE p_size % 3 WHEN 0 THEN 'AM5' WHEN 1 THEN 'lga1700' ELSE 'LGA 1851' END, ' ', CASE p_size % 4 WHEN 0 THEN 'micro-atx' WHEN 1 THEN 'mITX' WHEN 2 THEN 'ATX' ELSE 'eatx' END, ' ddr', 4 + p_size % 2, ' B', 600 + p_size, CASE WHEN p_size % 2 = 0 THEN concat(' ', split_part(p_name, ' ', 1)) ELSE '' END)
+        ELSE CASE p_size % 4 WHEN 0 THEN 'AMD Ryzen 7' WHEN 1 THEN 'ultra 5' WHEN 2 THEN 'intel core i9' ELSE p_name END END AS query FROM {part}""",
+    "v_models": """SELECT p_partkey AS product_id, lower(p_type) AS category, concat(split_part(p_name, ' ', 1), CASE p_partkey % 3 WHEN 0 THEN concat('-', p_size % 10) WHEN 1 THEN concat(' of ', p_size % 10) ELSE concat('', p_size % 10) END, ' ', split_part(p_name, ' ', 2)) AS name,
+        split_part(p_name, ' ', 1) AS word, p_size % 10 AS digit, p_partkey % 3 AS kind FROM {part}""",
     "v_docs": "SELECT doc_id, lang AS category, text FROM {documents}",
     "v_events": "SELECT event_id, ts, user_id, event_type AS class, value AS cost, props FROM {events}",
 }
@@ -53,6 +68,16 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that many queries read (postings, their statistics), written once for a session and
+        data folder under the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in STORED:
+            df = stored(build())
+            STORED[key] = (df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None, df.schema)
+        path, schema = STORED[key]
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, f"v_{name}") if f"v_{name}" in VIEWS else table(self.spark, self.sf_dir, name)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..operators import intents as I
 from ..operators import search as S
 from .base import Catalog, query
 
@@ -32,12 +33,29 @@ _CONTRIB = f"""c AS (SELECT query_id, post.category, doc, post.term, n, CAST(sum
 _ALL = f"{_POST}, {_STATS}, {_QUERIES}, {_TERMS}, {_CONTRIB}"
 
 
+# words asked of the products' corpora: whole ones, beginnings of one to four letters, and short model numbers
+_ASKED = """asked AS (SELECT s_suppkey AS query_id, ['economy', 'small', 'medium', 'large', 'promo', 'standard'][s_suppkey % 6 + 1] AS category, unnest([substr('widget', 1, s_suppkey % 4 + 1), CAST(s_suppkey % 10 AS VARCHAR), 'brand' || (s_suppkey % 3), ['red', 'gear', 'siz', 'b'][s_suppkey % 4 + 1]]) AS term FROM supplier)"""
+
+
+def _asked(c: Catalog) -> DataFrame:
+    s = F.col("s_suppkey")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (s % n + 1).cast("int"))
+    words = F.array(F.substring(F.lit("widget"), F.lit(1), (s % 4 + 1).cast("int")), (s % 10).cast("string"), F.concat(F.lit("brand"), (s % 3).cast("string")), pick(("red", "gear", "siz", "b"), 4))
+    return c.supplier.select(s.alias("query_id"), pick(("economy", "small", "medium", "large", "promo", "standard"), 6).alias("category"), F.explode(words).alias("term"))
+
+
 def _post(c: Catalog) -> DataFrame:
-    return S.postings(c.products.filter("active = 1"), "product_id", _FIELDS)
+    """Postings of the active products, written once for a session."""
+    return c.stored("product_postings", lambda: S.postings(c.products.filter("active = 1"), "product_id", _FIELDS))
 
 
 def _doc_post(c: Catalog) -> DataFrame:
-    return S.postings(c.docs, "doc_id", ["text"])
+    return c.stored("language_postings", lambda: S.postings(c.docs, "doc_id", ["text"]))
+
+
+def _all_post(c: Catalog) -> DataFrame:
+    """All documents as one corpus, for passages that are asked of every language."""
+    return c.stored("doc_postings", lambda: S.postings(c.docs.withColumn("category", F.lit("all")), "doc_id", ["text"]))
 
 
 def _queries(c: Catalog) -> DataFrame:
@@ -76,38 +94,46 @@ def corpus_stats(c: Catalog) -> DataFrame:
     return s.select("category", "term", "df", "occurrences", F.round("rate", 9).alias("rate"), F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {_DOCPOST}, p AS (SELECT DISTINCT category, substr(term, 1, 3) AS prefix FROM dpost WHERE pos = 0 AND length(term) >= 2) SELECT p.category, prefix, count(DISTINCT doc) AS df FROM p JOIN dpost ON p.category = dpost.category AND starts_with(term, prefix) GROUP BY 1, 2")
+@query(f"WITH {_DOCPOST}, t AS (SELECT DISTINCT category, term FROM dpost), p AS (SELECT DISTINCT category, substr(term, 1, n) AS prefix FROM t, (VALUES (2), (3), (4)) v(n) WHERE length(term) >= n), h AS (SELECT p.category, prefix, term FROM p JOIN t ON p.category = t.category AND starts_with(term, prefix)) SELECT h.category, prefix, count(DISTINCT doc) AS df FROM h JOIN dpost ON h.category = dpost.category AND h.term = dpost.term GROUP BY 1, 2")
 def prefix_df(c: Catalog) -> DataFrame:
-    post = _doc_post(c)
-    prefixes = post.filter((F.col("pos") == 0) & (F.length("term") >= 2)).select("category", F.substring("term", 1, 3).alias("prefix"))
-    return S.prefix_docs(post, prefixes).groupBy("category", "prefix").agg(F.count("*").alias("df"))
+    """Document counts of every prefix of two to four letters (the prefix index): a document counts
+    once however many of its terms begin so."""
+    held = _doc_post(c).select("category", "doc", "term").distinct()
+    own = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in (2, 3, 4)])
+    rows = held.select("category", "doc", F.explode(F.array_compact(own)).alias("prefix")).distinct()
+    return rows.groupBy("category", "prefix").agg(F.count("*").alias("df"))
 
 
-_ITEMS = f"items AS (SELECT item_id AS query_id, ({_T.format('text')})[1:3] AS t, ({_T.format('text')})[1:8] AS t8 FROM benchmark)"
+_ITEMS = f"items AS (SELECT item_id AS query_id, {_T.format('text')} AS t FROM benchmark)"
 
 
-def _items(c: Catalog, n: int) -> DataFrame:
-    """Benchmark passages as queries over every language."""
-    langs = c.docs.select("category").distinct()
-    t = c.benchmark.select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, n).alias("terms"))
-    return t.join(F.broadcast(langs))  # a handful of languages
+def _items(c: Catalog) -> DataFrame:
+    """Whole benchmark passages as queries over all documents."""
+    return c.benchmark.select(F.col("item_id").alias("query_id"), F.lit("all").alias("category"), tokens(F.col("text")).alias("terms"))
 
 
 @query(f"WITH {_DOCPOST}, {_ITEMS}, t AS (SELECT query_id, len(list_distinct(t)) AS n, unnest(list_distinct(t)) AS term FROM items) SELECT query_id, doc FROM dpost JOIN t ON dpost.term = t.term GROUP BY query_id, doc, n HAVING count(DISTINCT dpost.term) = n")
 def match_all(c: Catalog) -> DataFrame:
-    t = _items(c, 3).select("query_id", "category", F.array_distinct("terms").alias("terms"))
-    return S.match_all(_doc_post(c), t.select("query_id", "category", F.size("terms").alias("n"), F.explode("terms").alias("term")))
+    t = _items(c).select("query_id", "category", F.array_distinct("terms").alias("terms"))
+    return S.match_all(_all_post(c), t.select("query_id", "category", F.size("terms").alias("n"), F.explode("terms").alias("term")))
 
 
-@query(f"WITH {_POST}, {_QUERIES}, p AS (SELECT query_id, category, unnest({_T.format('query')}) AS term FROM q), p2 AS (SELECT DISTINCT query_id, category, substr(term, 1, 3) AS prefix FROM p WHERE length(term) >= 3) SELECT DISTINCT query_id, doc FROM p2 JOIN post ON p2.category = post.category AND starts_with(post.term, prefix)")
+@query(f"WITH {_POST}, {_ASKED}, p AS (SELECT DISTINCT query_id, category, term, NOT regexp_full_match(term, '[0-9]|[a-z]{{1,5}}[0-9]{{1,2}}') AS open FROM asked) SELECT DISTINCT query_id, doc, p.term AS prefix FROM p JOIN post ON p.category = post.category AND CASE WHEN open THEN starts_with(post.term, p.term) ELSE post.term = p.term END")
 def match_prefix(c: Catalog) -> DataFrame:
-    p = S.query_terms(_queries(c)).filter(F.length("term") >= 3).select("query_id", "category", F.substring("term", 1, 3).alias("prefix")).distinct()
-    return p.join(S.prefix_docs(_post(c), p), ["category", "prefix"]).select("query_id", "doc").distinct()
-
-
-@query(f"WITH {_ITEMS}, d AS (SELECT doc_id AS doc, ' ' || array_to_string({_T.format('text')}, ' ') || ' ' AS body FROM v_docs) SELECT query_id, doc FROM items JOIN d ON contains(body, ' ' || array_to_string(t8, ' ') || ' ')")
+    """Query words of any length as prefixes; a single digit or a short model number (letters and
+    one or two digits) is a whole token, so that q1 does not find q14."""
+    p = _asked(c).select("query_id", "category", "term", F.regexp_like("term", F.lit("^([0-9]|[a-z]{1,5}[0-9]{1,2})$")).alias("whole")).distinct()
+    post, vocabulary = _post(c), _post(c).select("category", "term").distinct()
+    held = vocabulary.select("category", F.col("term").alias("held"), F.substring("term", 1, 1).alias("head"))
+    by_prefix = held.join(p.filter("not whole").withColumn("head", F.substring("term", 1, 1)), ["category", "head"]).filter(F.col("held").startswith(F.col("term")))
+    by_token = p.filter("whole").select("query_id", "category", "term", F.col("term").alias("held"))
+    found = by_prefix.select("query_id", "category", "term", "held").unionByName(by_token)
+    return found.join(post.select("category", F.col("term").alias("held"), "doc").distinct(), ["category", "held"]).select("query_id", "doc", F.col("term").alias("prefix")).distinct()
+
+
+@query(f"WITH {_ITEMS}, d AS (SELECT doc_id AS doc, ' ' || array_to_string({_T.format('text')}, ' ') || ' ' AS body FROM v_docs) SELECT query_id, doc FROM items JOIN d ON contains(body, ' ' || array_to_string(t, ' ') || ' ')")
 def match_phrase(c: Catalog) -> DataFrame:
-    return S.phrase_hits(_doc_post(c), _items(c, 8)).select("query_id", "doc").distinct()
+    return S.phrase_hits(_all_post(c), _items(c)).select("query_id", "doc").distinct()
 
 
 @query(f"WITH {_POST}, {_QUERIES}, {_TERMS} SELECT query_id, doc FROM post JOIN terms ON post.category = terms.category AND post.term = terms.term WHERE field = 'name' GROUP BY query_id, doc, n HAVING count(DISTINCT post.term) = n")
@@ -116,13 +142,17 @@ def match_fields(c: Catalog) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'rtx' || (5000 + p_size) || 'ti' WHEN 1 THEN 'x' || (800 + p_size) ELSE split_part(p_name, ' ', 1) END AS token, p_size FROM part)
-    SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN [token, 'rtx ' || (5000 + p_size) || 'ti', 'rtx' || (5000 + p_size) || ' ti', 'rtx ' || (5000 + p_size) || ' ti'] WHEN 1 THEN [token, 'x ' || (800 + p_size)] ELSE [token] END) AS form FROM t"""
+    """WITH t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, CAST(5000 + p_size AS VARCHAR) AS n, p_partkey % 5 AS k FROM part),
+    f AS (SELECT p_partkey, 0 AS start, w AS form FROM t UNION ALL SELECT p_partkey, 1, 'edition' FROM t
+        UNION ALL SELECT p_partkey, 2, unnest(CASE k WHEN 0 THEN ['rtx' || n || 'ti', 'rtx ' || n || 'ti', 'rtx' || n || ' ti', 'rtx ' || n || ' ti'] WHEN 1 THEN ['rtx ' || n || ' ti', 'rtx' || n || 'ti', 'rtx ' || n || 'ti', 'rtx' || n || ' ti'] WHEN 2 THEN [n || ' xt', n || 'xt'] WHEN 3 THEN ['7'] ELSE ['super'] END) FROM t
+        UNION ALL SELECT p_partkey, 3, unnest(CASE k WHEN 3 THEN ['950'] WHEN 4 THEN ['rtx ' || n, 'rtx' || n] ELSE [] END) FROM t)
+    SELECT p_partkey, start, form FROM f"""
 )
 def expand_models(c: Catalog) -> DataFrame:
-    k, size = F.col("p_partkey") % 3, F.col("p_size")
-    token = F.when(k == 0, F.concat(F.lit("rtx"), (size + 5000).cast("string"), F.lit("ti"))).when(k == 1, F.concat(F.lit("x"), (size + 800).cast("string"))).otherwise(F.split("p_name", " ")[0])
-    return c.part.select("p_partkey", F.explode(S.model_forms(token)).alias("form"))
+    k, n, word = F.col("p_partkey") % 5, (F.col("p_size") + 5000).cast("string"), F.split("p_name", " ")[0]
+    said = F.when(k == 0, F.concat(F.lit("rtx"), n, F.lit("ti"))).when(k == 1, F.concat(F.lit("RTX "), n, F.lit(" Ti"))).when(k == 2, F.concat(n, F.lit("-xt"))).when(k == 3, "7 950").otherwise(F.concat(F.lit("super rtx "), n))
+    groups = c.part.select("p_partkey", tokens(F.concat_ws(" ", word, F.lit("edition"), said)).alias("terms")).select("p_partkey", F.inline(S.model_groups(F.col("terms"))))
+    return groups.select("p_partkey", "start", F.explode("forms").alias("form"))
 
 
 @query(f"WITH {_ALL} SELECT query_id, doc, round(relevance, 6) AS relevance FROM bm")
@@ -167,15 +197,29 @@ def trusted_identifier(c: Catalog) -> DataFrame:
     return S.trusted_owners(c.identifiers, keys)
 
 
-@query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 3 THEN CAST(p_size * CASE WHEN p_partkey % 2 = 0 THEN 1000.0 ELSE 1.0 END AS DOUBLE) END AS capacity_gb, CASE WHEN p_partkey % 4 <> 3 THEN p_name ELSE lower(p_name || ' 8gb 16gb') END AS remaining FROM part"""
-)
+_INTENT = """a AS (SELECT *, CASE category
+        WHEN 'memory' THEN CASE WHEN query_id % 48 = 0 THEN [] ELSE ['capacity_gb=' || (8 + size % 8), 'cas_latency=' || (14 + size % 20), 'ram_type=DDR' || (3 + size % 3), 'speed=' || (1600 + 100 * (size % 40))] END
+        WHEN 'storage' THEN ['capacity_gb=' || (1 + size % 4) || '000', CASE WHEN size % 3 = 0 THEN 'nvme=1' END] WHEN 'gpu' THEN ['vram_gb=' || (4 + size % 12)]
+        WHEN 'psu' THEN [CASE size % 3 WHEN 0 THEN 'efficiency_rating=80+ Gold' WHEN 1 THEN 'efficiency_rating=80+ Bronze' END, CASE WHEN size % 2 = 0 THEN 'form_factor=SFX-L' ELSE 'form_factor=ATX' END, 'wattage=' || (400 + 10 * size)]
+        WHEN 'case_fan' THEN [CASE WHEN size % 2 = 0 THEN 'pwm=1' END, 'size_mm=' || (60 + size)]
+        WHEN 'cpu_cooler' THEN CASE size % 3 WHEN 0 THEN ['radiator_size_mm=360', 'water_cooled=1'] WHEN 1 THEN ['fan_size_mm=' || (80 + size), 'water_cooled=0'] ELSE [] END
+        WHEN 'motherboard' THEN ['form_factor=' || ['Micro ATX', 'Mini-ITX', 'ATX', 'EATX'][size % 4 + 1], 'ram_type=DDR' || (4 + size % 2), 'socket=' || ['AM5', 'LGA 1700', 'LGA 1851'][size % 3 + 1]] ELSE [] END AS l,
+    CASE category WHEN 'memory' THEN CASE WHEN query_id % 48 = 0 THEN lower(query) ELSE word END WHEN 'storage' THEN word WHEN 'gpu' THEN 'rtx' || (5000 + size) WHEN 'psu' THEN CASE WHEN size % 3 = 2 THEN word ELSE '' END WHEN 'case_fan' THEN word
+        WHEN 'cpu_cooler' THEN CASE size % 3 WHEN 0 THEN '' WHEN 1 THEN 'cooler master' ELSE 'cooler ' || word END WHEN 'motherboard' THEN 'b' || (600 + size) || CASE WHEN size % 2 = 0 THEN ' ' || word ELSE '' END ELSE lower(query) END AS remaining FROM v_asks),
+    intent AS (SELECT query_id, category, array_to_string(list_filter(l, lambda x: x IS NOT NULL), ';') AS specs, remaining, CASE WHEN category = 'motherboard' THEN 'B' || (600 + size) END AS chipset, CASE WHEN category = 'motherboard' THEN CASE WHEN size % 2 = 0 THEN word ELSE '' END END AS residual,
+        CASE WHEN category = 'cpu' THEN CASE size % 4 WHEN 0 THEN 'Ryzen 7' WHEN 1 THEN 'Core Ultra 5' WHEN 2 THEN 'Core i9' END END AS family FROM a)"""
+
+
+def _intents(c: Catalog) -> DataFrame:
+    return I.parse(c.asks)
+
+
+@query(f"WITH {_INTENT} SELECT query_id, specs, remaining, chipset, residual, specs <> '' AND remaining = '' AS spec_only FROM intent")
 def parse_intent(c: Catalog) -> DataFrame:
-    k = F.col("p_partkey")
-    text = F.when(k % 4 == 3, F.concat("p_name", F.lit(" 8gb 16gb"))).otherwise(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.when(k % 2 == 0, " TB").otherwise("gb")))
-    patterns = {"tb": ("(?<![\\p{L}\\p{N}.])([0-9]+(?:\\.[0-9]+)?)\\s*tb(?![\\p{L}\\p{N}.])", 1000.0), "gb": ("(?<![\\p{L}\\p{N}.])([0-9]+(?:\\.[0-9]+)?)\\s*gb(?![\\p{L}\\p{N}.])", 1.0)}
-    specs, rest = S.parse_specs(text, patterns)
-    return c.part.select("p_partkey", F.coalesce(specs["tb"], specs["gb"]).alias("capacity_gb"), rest.alias("remaining"))
+    """Queries of eight categories with their own units, words and nouns; the SQL knows what each
+    query was made of and parses nothing."""
+    text = F.array_join(F.transform("specs", lambda x: F.concat_ws("=", x["field"], x["value"])), ";")
+    return _intents(c).select("query_id", text.alias("specs"), "remaining", "chipset", "residual", "spec_only")
 
 
 _TYPED = "typed AS (SELECT q.query_id, p.product_id AS doc, row_number() OVER (PARTITION BY q.query_id ORDER BY s.price, p.product_id) AS nth FROM q JOIN v_products p ON p.category = q.category AND active = 1 JOIN v_spec s ON s.product_id = p.product_id WHERE s.size_mm = query_id % 50 + 1)"
@@ -188,22 +232,22 @@ def typed_candidates(c: Catalog) -> DataFrame:
     return S.top_k(rows, 256, [F.col("price"), F.col("product_id")]).select("query_id", F.col("product_id").alias("doc"))
 
 
-@query(f"WITH {_QUERIES} SELECT query_id, product_id AS doc FROM q JOIN v_products p ON p.category = q.category AND active = 1 WHERE manufacturer IN ('Brand#' || (query_id % 25), 'Brand#' || (query_id % 25 + 1)) AND contains(' ' || name || ' ', ' red ')")
+@query(f"WITH {_INTENT}, asked AS (SELECT query_id, chipset, residual FROM intent WHERE chipset IS NOT NULL) SELECT query_id, product_id AS doc FROM asked JOIN v_products p ON active = 1 AND release_year - 2000 + 600 = CAST(substr(chipset, 2) AS INT) AND (residual = '' OR list_contains(string_split(name, ' '), residual))")
 def identity_candidates(c: Catalog) -> DataFrame:
-    names = F.array(F.concat(F.lit("Brand#"), (F.col("query_id") % 25).cast("string")), F.concat(F.lit("Brand#"), (F.col("query_id") % 25 + 1).cast("string")))
-    q = _queries(c).select("query_id", "category", F.explode(names).alias("manufacturer"))
-    residual = _post(c).filter("term = 'red' AND field = 'name'").select(F.col("doc").alias("product_id"))
-    hit = c.products.filter("active = 1").join(q, ["category", "manufacturer"]).join(residual, "product_id", "left_semi")
-    return hit.select("query_id", F.col("product_id").alias("doc"))
-
-
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Ryzen 7' WHEN 1 THEN 'Core Ultra 5' END AS family FROM part")
+    """Products whose chipset (here named by their year) is the one a board query names, under any of
+    its vendors' spellings, and whose postings hold every word left of the query."""
+    year = (F.col("release_year") - 1400).cast("string")
+    boards = c.products.filter("active = 1 and release_year is not null").select("product_id", F.when(F.col("product_id") % 2 == 0, F.concat(F.lit("AMD B"), year)).otherwise(F.concat(F.lit("B"), year)).alias("spelling"))
+    q = _intents(c).filter("chipset is not null").select("query_id", "residual", F.explode(F.transform(F.array(F.lit("AMD "), F.lit("Intel "), F.lit("")), lambda v: F.concat(v, F.col("chipset")))).alias("spelling"))
+    hit = q.join(boards, "spelling").select("query_id", F.col("product_id").alias("doc"), tokens(F.col("residual")).alias("t"))
+    words = hit.select("query_id", "doc", F.explode("t").alias("term"))
+    lacking = words.join(_post(c).select("doc", "term").distinct(), ["doc", "term"], "left_anti").select("query_id", "doc").distinct()
+    return hit.select("query_id", "doc").join(lacking, ["query_id", "doc"], "left_anti")
+
+
+@query(f"WITH {_INTENT} SELECT query_id, family FROM intent WHERE category = 'cpu'")
 def family_match(c: Catalog) -> DataFrame:
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, "amd ryzen 7").when(k == 1, "intel ultra 5").otherwise(F.col("p_name"))
-    named = F.regexp_extract(text, "^(?:(?:amd|intel) )?(ryzen [3579]|core i[3579]|(?:core )?ultra [3579])$", 1)
-    family = F.regexp_replace(F.regexp_replace(F.regexp_replace(named, "^(?:core )?ultra", "Core Ultra"), "^ryzen", "Ryzen"), "^core", "Core")
-    return c.part.select("p_partkey", F.nullif(family, F.lit("")).alias("family"))
+    return _intents(c).filter("category = 'cpu'").select("query_id", "family")
 
 
 _SCORED = f"""{_ALL}, scored AS (SELECT bm.query_id, bm.doc, CASE WHEN lower(trim(p.name)) = lower(q.query) THEN 700 WHEN contains(' ' || lower(p.name) || ' ', ' ' || array_to_string({_T.format('q.query')}, ' ') || ' ') THEN 650 WHEN starts_with(lower(p.name), ({_T.format('q.query')})[1]) THEN 400 ELSE 100 END AS tier,
@@ -256,15 +300,30 @@ def topk_search(c: Catalog) -> DataFrame:
     return S.top_k(_scored(c), 10, [F.round(F.col("score").cast("double"), 5).desc(), F.col("name"), F.col("doc")]).select("query_id", "rank", "doc")
 
 
-_FQ = "fq AS (SELECT p_partkey AS query_id, lower(p_type) AS category, CASE p_partkey % 4 WHEN 0 THEN 'x red zzz rtx5080' WHEN 1 THEN 'red y' WHEN 2 THEN 'red zzz c 5080' ELSE p_name END AS query FROM part)"
+_FQ = """fq AS (SELECT p_partkey AS query_id, lower(p_type) AS category, p_brand AS brand, p_name AS name, p_partkey % 5 AS k FROM part WHERE p_partkey % 20 <> 0)"""
+
 
+def _fallback_queries(c: Catalog) -> DataFrame:
+    """Queries about numbered brands: with a stray letter beside words (k 0), beside a digit (1), with
+    two letters (2), with a word that nothing holds (3), and as they are (4)."""
+    k, name = F.col("p_partkey") % 5, F.split("p_name", " ")
+    number = F.concat(F.lit("1"), F.lpad(F.regexp_extract("p_brand", "([0-9]+)$", 1), 3, "0"))
+    text = F.when(k == 0, F.concat_ws(" ", name[0], F.lit("x"), name[1], number)).when(k == 1, F.concat_ws(" ", name[0], name[1], F.lit("x"), number)).when(k == 2, F.concat_ws(" ", name[0], F.lit("x y"), name[1], number)).when(k == 3, F.concat_ws(" ", name[0], F.lit("zzz"), name[1], number)).otherwise(F.concat_ws(" ", name[0], name[1], number))
+    return c.part.filter("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("query_id"), F.lower("p_type").alias("category"), text.alias("query"))
 
-@query(f"WITH {_FQ}, {_POST} SELECT query_id, 'x' AS dropped, 'red zzz rtx5080' AS query FROM fq WHERE query_id % 4 = 0")
+
+@query(
+    f"""WITH {_FQ}, numbered AS (SELECT product_id AS doc, category, manufacturer AS brand, name FROM v_products WHERE active = 1)
+    SELECT query_id, doc, k = 0 AS fallback FROM fq JOIN numbered n ON n.category = fq.category AND n.brand = fq.brand AND (n.name = fq.name OR n.name = split_part(fq.name, ' ', 2) || ' ' || split_part(fq.name, ' ', 1)) WHERE k IN (0, 4)"""
+)
 def fallback_query(c: Catalog) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    q = c.part.select(F.col("p_partkey").alias("query_id"), F.lower("p_type").alias("category"), F.when(k == 0, "x red zzz rtx5080").when(k == 1, "red y").when(k == 2, "red zzz c 5080").otherwise(F.col("p_name")).alias("query"))
-    strict = S.match_all(_post(c), S.query_terms(q))
-    return S.fallback_terms(q, strict).select("query_id", "dropped", "query")
+    """Strict hits, and for queries without any the hits of the query that lacks its stray letter."""
+    number = F.concat(F.lit("1"), F.lpad(F.regexp_extract("manufacturer", "([0-9]+)$", 1), 3, "0"))
+    post = S.postings(c.products.filter("active = 1").withColumn("manufacturer", number), "product_id", ["name", "manufacturer"])
+    q = _fallback_queries(c)
+    strict = S.match_all(post, S.query_terms(q))
+    again = S.match_all(post, S.query_terms(S.fallback_terms(q, strict)))
+    return strict.withColumn("fallback", F.lit(False)).unionByName(again.withColumn("fallback", F.lit(True)))
 
 
 @query(f"WITH {_POST}, {_QUERIES} SELECT DISTINCT query_id, doc FROM q JOIN post ON q.category = post.category AND term IN ('ring', 'gear') AND query_id % 4 = 0")
@@ -274,14 +333,20 @@ def alias_query(c: Catalog) -> DataFrame:
     return _post(c).join(terms.select("query_id", "category", F.col("alias").alias("term")), ["category", "term"]).select("query_id", "doc").distinct()
 
 
-@query(f"WITH {_POST}, {_QUERIES} SELECT DISTINCT q.query_id, a.doc FROM q JOIN post a ON a.category = q.category AND a.term = 'red' AND a.field = 'name' JOIN post b ON b.doc = a.doc AND b.field = a.field AND b.term = 'ring' AND b.pos = a.pos + 1 WHERE q.query_id % 4 = 0")
+@query("WITH q AS (SELECT s_suppkey AS query_id, ['economy', 'small', 'medium', 'large', 'promo', 'standard'][s_suppkey % 6 + 1] AS category, ['red', 'small', 'blue', 'hot', 'green'][s_suppkey % 5 + 1] AS word, s_suppkey // 5 % 10 AS digit FROM supplier) SELECT query_id, product_id AS doc FROM q JOIN v_models m ON m.category = q.category AND m.word = q.word AND m.digit = q.digit AND kind <> 1")
 def adjacency_rule(c: Catalog) -> DataFrame:
-    q = _queries(c).filter("query_id % 4 = 0").select("query_id", "category", tokens(F.col("query")).alias("terms"))
-    return S.phrase_hits(_post(c), q).select("query_id", "doc").distinct()
+    """Short models (word, dash, digit): products hold their parts side by side, apart, or joined."""
+    s = F.col("s_suppkey")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n + 1).cast("int"))
+    text = F.concat(pick(("red", "small", "blue", "hot", "green"), s % 5), F.lit("-"), (F.floor(s / 5) % 10).cast("string"))
+    q = c.supplier.select(s.alias("query_id"), pick(("economy", "small", "medium", "large", "promo", "standard"), s % 6).alias("category"), text.alias("query"))
+    return S.adjacent_hits(S.postings(c.models, "product_id", ["name"]), q)
 
 
-@query(f"WITH {_POST}, {_QUERIES}, {_TERMS}, {_TYPED}, lex AS (SELECT query_id, doc FROM post JOIN terms ON post.category = terms.category AND post.term = terms.term GROUP BY query_id, doc, n HAVING count(DISTINCT post.term) = n) SELECT query_id, doc FROM lex UNION SELECT query_id, doc FROM typed WHERE nth <= 256 AND query_id % 2 = 0")
+@query(f"WITH {_POST}, {_QUERIES}, {_TERMS}, {_TYPED}, lex AS (SELECT query_id, doc FROM post JOIN terms ON post.category = terms.category AND post.term = terms.term GROUP BY query_id, doc, n HAVING count(DISTINCT post.term) = n) SELECT query_id, doc FROM lex UNION SELECT typed.query_id, doc FROM typed JOIN q ON q.query_id = typed.query_id WHERE nth <= 256 AND NOT regexp_matches(query, '[0-9]')")
 def bounded_lexical(c: Catalog) -> DataFrame:
-    lexical = S.match_all(_post(c), S.query_terms(_queries(c)))
-    typed = typed_candidates(c).filter("query_id % 2 = 0")
+    """Typed candidates join the lexical ones, but for queries with a model number."""
+    q = _queries(c)
+    lexical = S.match_all(_post(c), S.query_terms(q))
+    typed = typed_candidates(c).join(q.filter(~F.regexp_like("query", F.lit("[0-9]"))), "query_id", "left_semi")
     return lexical.unionByName(typed).distinct()
