@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import columns as C
-from shelfspark.operators import contract, filters, search, sync
+from shelfspark.operators import contract, filters, intents, order, search, sync
 from shelfspark.sources import snapshot
 
 
@@ -99,3 +99,35 @@ def test_entry_works(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_order_does_not_depend_on_partitions(spark, partitions):
+    """One group holds most rows, one is null, keys tie but for the id."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = [(i, "hot" if i % 10 else ("a", None)[i // 10 % 2], i * 7 % 50) for i in range(600)]
+        df = spark.createDataFrame(rows, "id long, g string, v long")
+        keys = [F.col("v"), F.col("id")]
+        groups = {g: sorted((v, i) for i, h, v in rows if h == g) for g in ("hot", "a", None)}
+        got = {r["id"]: r["place"] for r in order.ranked(df, ["g"], keys, "place").collect()}
+        assert got == {i: n for g in groups.values() for n, (_, i) in enumerate(g, 1)}
+        got = {r["id"]: r["before"] for r in order.previous(df, ["g"], keys, F.col("id"), "before").collect()}
+        assert got == {i: (g[n - 1][1] if n else None) for g in groups.values() for n, (_, i) in enumerate(g)}
+        got = {r["g"]: (r["half"], r["largest"]) for r in order.nearest_rank(df, "g", "v", {"half": 0.5}).collect()}
+        assert got == {g: (x[-(-len(x) // 2) - 1][0], x[-1][0]) for g, x in groups.items()}
+        a, b = (order.fingerprint(d, F.col("id").cast("string"), "g", (2, 1)) for d in (df, df.repartition(5)))
+        assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str) and a.agg(F.sum("rows")).first()[0] == 600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_intents_keep_what_rules_do_not_take(spark):
+    rows = [("memory", "8gb 16gb kit"), ("memory", "gskill 32GB 6000 ddr5"), ("memory", "model 6000"), ("storage", "wd 2tb sn850"), ("psu", "9000w atx"), ("desk", "120mm 8gb"), ("memory", None), ("memory", "")]
+    got = [(r["remaining"], [tuple(s) for s in r["specs"] or []]) for r in intents.parse(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "query_id int, category string, query string")).orderBy("query_id").collect()]
+    assert got[0] == ("8gb 16gb kit", [])
+    assert got[1] == ("g skill", [("capacity_gb", "32"), ("ram_type", "DDR5"), ("speed", "6000")])
+    assert got[2] == ("model 6000", []) and got[3] == ("wd sn850", [("capacity_gb", "2000")])
+    assert got[4] == ("9000w", [("form_factor", "ATX")]) and got[5] == ("120mm 8gb", [])
+    assert got[6][1] == [] and got[7] == ("", [])
