@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import base
-from . import audit, facets, normalize, offers, paging, quality, search, streams, sync  # noqa: F401
+from . import audit, facets, normalize, offers, paging, quality, ranking, search, streams, sync  # noqa: F401
 
 
 def queries() -> dict:

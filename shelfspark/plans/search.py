@@ -155,16 +155,6 @@ def expand_models(c: Catalog) -> DataFrame:
     return groups.select("p_partkey", "start", F.explode("forms").alias("form"))
 
 
-@query(f"WITH {_ALL} SELECT query_id, doc, round(relevance, 6) AS relevance FROM bm")
-def bm25(c: Catalog) -> DataFrame:
-    return S.bm25(_post(c), S.query_terms(_queries(c))).select("query_id", "doc", F.round("relevance", 6).alias("relevance"))
-
-
-@query(f"WITH {_ALL} SELECT query_id, doc, term, wtf AS weighted_tf, round(contribution, 6) AS contribution FROM k")
-def bm25_explain(c: Catalog) -> DataFrame:
-    return S.contributions(_post(c), S.query_terms(_queries(c))).withColumn("contribution", F.round("contribution", 6))
-
-
 _LOCAL = "loc AS (SELECT q.query_id, i.product_id AS doc FROM q JOIN v_products p ON p.category = q.category AND active = 1 JOIN v_identifiers i ON i.product_id = p.product_id AND origin = 'local' AND value_key = 'L-' || (query_id * 6))"
 
 
@@ -250,56 +240,6 @@ def family_match(c: Catalog) -> DataFrame:
     return _intents(c).filter("category = 'cpu'").select("query_id", "family")
 
 
-_SCORED = f"""{_ALL}, scored AS (SELECT bm.query_id, bm.doc, CASE WHEN lower(trim(p.name)) = lower(q.query) THEN 700 WHEN contains(' ' || lower(p.name) || ' ', ' ' || array_to_string({_T.format('q.query')}, ' ') || ' ') THEN 650 WHEN starts_with(lower(p.name), ({_T.format('q.query')})[1]) THEN 400 ELSE 100 END AS tier,
-    CASE WHEN s.size_mm = q.query_id % 50 + 1 THEN 12.0 WHEN s.size_mm IS NULL THEN 3.0 ELSE 0.0 END AS spec_score, CASE WHEN contains(' ' || lower(q.query) || ' ', ' ' || lower(p.manufacturer) || ' ') THEN 2.0 ELSE 0.0 END AS manufacturer_score,
-    coalesce(greatest(-0.05, least(0.05, (p.release_year - 2022) * 0.01)), 0.0) AS freshness_score, relevance, p.name FROM bm JOIN q ON bm.query_id = q.query_id JOIN v_products p ON p.product_id = bm.doc JOIN v_spec s ON s.product_id = bm.doc),
-    final AS (SELECT *, CAST(tier + spec_score + manufacturer_score + freshness_score + relevance / (1 + relevance) AS DOUBLE) AS score FROM scored)"""
-
-
-def _scored(c: Catalog) -> DataFrame:
-    q = _queries(c)
-    hits = S.bm25(_post(c), S.query_terms(q)).withColumnRenamed("doc", "product_id")
-    rows = hits.join(q.drop("category"), "query_id").join(c.products, "product_id").join(c.spec, "product_id")
-    text, name = F.array_join(tokens(F.col("query")), " "), F.lower(F.trim("name"))
-    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    tier = S.tier([(name == F.lower("query"), 700), (padded(name).contains(padded(text)), 650), (name.startswith(F.get(tokens(F.col("query")), 0)), 400)])
-    rows = rows.withColumn("tier", tier).withColumn("spec_score", S.spec_score([(F.col("size_mm"), (F.col("query_id") % 50 + 1).cast("int"))]))
-    rows = rows.withColumn("manufacturer_score", S.manufacturer_score(F.col("manufacturer"), F.lower("query"))).withColumn("freshness_score", S.freshness(F.col("release_year")))
-    extra = F.col("spec_score") + F.col("manufacturer_score") + F.col("freshness_score")
-    return rows.withColumn("score", S.final_score(F.col("tier"), extra, F.col("relevance"), F.lit(0))).withColumnRenamed("product_id", "doc")
-
-
-@query(f"WITH {_SCORED} SELECT query_id, doc, tier FROM final")
-def rank_tiers(c: Catalog) -> DataFrame:
-    return _scored(c).select("query_id", "doc", "tier")
-
-
-@query(f"WITH {_SCORED} SELECT query_id, doc, CAST(spec_score AS DOUBLE) AS spec_score FROM final")
-def spec_score(c: Catalog) -> DataFrame:
-    return _scored(c).select("query_id", "doc", "spec_score")
-
-
-@query(f"WITH {_SCORED} SELECT query_id, doc, CAST(manufacturer_score AS DOUBLE) AS manufacturer_score FROM final")
-def manufacturer_score(c: Catalog) -> DataFrame:
-    return _scored(c).select("query_id", "doc", "manufacturer_score")
-
-
-@query(f"WITH {_SCORED} SELECT query_id, doc, CAST(round(freshness_score, 4) AS DOUBLE) AS freshness_score FROM final")
-def freshness_score(c: Catalog) -> DataFrame:
-    return _scored(c).select("query_id", "doc", F.round(F.col("freshness_score").cast("double"), 4).alias("freshness_score"))
-
-
-@query(f"WITH {_SCORED} SELECT query_id, doc, round(score, 5) AS score, CASE tier WHEN 700 THEN 'exact-name' WHEN 650 THEN 'name-phrase' WHEN 400 THEN 'prefix-name' ELSE 'fts' END AS match_type FROM final")
-def final_score(c: Catalog) -> DataFrame:
-    kind = F.when(F.col("tier") == 700, "exact-name").when(F.col("tier") == 650, "name-phrase").when(F.col("tier") == 400, "prefix-name").otherwise("fts")
-    return _scored(c).select("query_id", "doc", F.round(F.col("score").cast("double"), 5).alias("score"), kind.alias("match_type"))
-
-
-@query(f"WITH {_SCORED}, r AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, name, doc) AS rank FROM final) SELECT query_id, rank, doc FROM r WHERE rank <= 10")
-def topk_search(c: Catalog) -> DataFrame:
-    return S.top_k(_scored(c), 10, [F.round(F.col("score").cast("double"), 5).desc(), F.col("name"), F.col("doc")]).select("query_id", "rank", "doc")
-
-
 _FQ = """fq AS (SELECT p_partkey AS query_id, lower(p_type) AS category, p_brand AS brand, p_name AS name, p_partkey % 5 AS k FROM part WHERE p_partkey % 20 <> 0)"""
 
 
