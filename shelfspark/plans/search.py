@@ -201,7 +201,8 @@ _INTENT = """a AS (SELECT *, CASE category
 
 
 def _intents(c: Catalog) -> DataFrame:
-    return I.parse(c.asks)
+    """The parsed queries, written once for a session: their plan of rules is long."""
+    return c.stored("ask_intents", lambda: I.parse(c.asks))
 
 
 @query(f"WITH {_INTENT} SELECT query_id, specs, remaining, chipset, residual, specs <> '' AND remaining = '' AS spec_only FROM intent")
