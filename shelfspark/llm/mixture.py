@@ -12,8 +12,10 @@ flight left undecided are the landing problem, at most fourteen documents: all t
 listed and one is drawn, near-balanced ones likelier.
 
 Defined cases: null text has size 0; documents of size 0 take no words and weigh nothing; a null
-source is a source of its own, last; a null id is an id like another; equal sizes and repeated rows
-are separate units, drawn each; an empty table gives an empty result. Results depend on the rows alone, so reruns agree."""
+source is a source of its own, last; a null id is an id like another, beside ids of any size; equal
+sizes and repeated rows are separate units, drawn each; long texts count whole; ``remix`` keeps all
+columns, whatever their names; an empty table gives an empty result. Results depend on the rows
+alone, so reruns agree."""
 
 from __future__ import annotations
 
@@ -21,7 +23,8 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,13 +106,14 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
     and words within each source. ``t`` and ``n`` tell rows of one id apart."""
     schema = "doc_id long, source string, size long, t long, n long, p double, level int"
 
-    def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "t", "n", "p"], na_position="first", kind="stable").reset_index(drop=True)
-        name = f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}:{pdf['level'].iloc[0]}"
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
-        order = np.argsort(-pdf["size"].to_numpy(), kind="stable")  # large first, so that small ones are left
-        size, p = pdf["size"].to_numpy(float)[order], pdf["p"].to_numpy(float)[order]
-        if pdf["blocks"].iloc[0] == 1:  # the source's last block: its largest documents wait for the landing
+    def fly(key: tuple, table: pa.Table) -> pa.Table:  # Arrow keeps a null id beside ids of all sizes
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in ("doc_id", "size", "t", "n", "p")], null_placement="at_start"))
+        first = {c: table[c][0].as_py() for c in ("source", "block", "level", "blocks")}
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{first['source']}:{first['block']}:{first['level']}".encode()).digest()[:8], "big"))
+        sizes = table["size"].to_numpy()
+        order = np.argsort(-sizes, kind="stable")  # large first, so that small ones are left
+        size, p = sizes[order].astype(float), table["p"].to_numpy()[order].astype(float)
+        if first["blocks"] == 1:  # the source's last block: its largest documents wait for the landing
             moved = np.concatenate([p[:LANDING], _flight(size[LANDING:], p[LANDING:], rng)])
             moved = _land(size, moved, rng)
         else:  # some of every size wait for the next level, so that the last one can make up for a very large document
@@ -117,9 +121,10 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
             fly_now[np.linspace(0, len(p) - 1, LANDING).astype(int)] = False
             moved = p.copy()
             moved[fly_now] = _flight(size[fly_now], p[fly_now], rng)
-        back = np.empty(len(pdf))
+        back = np.empty(len(table))
         back[order] = moved
-        return pdf[UNIT].assign(p=back, level=pdf["level"] + 1)
+        level = pa.array(np.full(len(table), first["level"] + 1), pa.int32())
+        return table.select(UNIT).append_column("p", pa.array(back)).append_column("level", level)
 
     done, level = None, 0
     now = rows.select(*UNIT, "p", F.lit(0).alias("level"))
@@ -128,7 +133,7 @@ def cube_sample(rows: DataFrame, block_rows: int = 256, seed: int = 17) -> DataF
         per = materialize(per)
         spread = now.join(per, now.source.eqNullSafe(per.source)).select(now["*"], "blocks")
         spread = spread.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "t", "n"), "blocks").cast("int"))
-        flown = materialize(spread.groupBy("source", "block").applyInPandas(fly, schema))
+        flown = materialize(spread.groupBy("source", "block").applyInArrow(fly, schema))
         settled = flown.filter("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
         now = flown.filter("p > 0 and p < 1")
