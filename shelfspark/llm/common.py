@@ -62,6 +62,18 @@ def numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     return joined.select(*[local[c] for c in rows.columns if c != "__p"], (F.col("__r") + F.col("__before")).alias(name))
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: list[str], members: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``facts``, one row for each (null-safe) key and its number of
+    ``members``. Keys of more than 1 / ``share`` of the ``total`` rows, fewer than ``share`` by that
+    bound, are broadcast, so that no hot key is one task's; the others meet by shuffle."""
+    named = facts.select(*[F.col(c).alias(f"__{c}") if c in key else F.col(c) for c in facts.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+    hot = F.col(members) * share > total
+    large = F.broadcast(named.filter(hot))
+    met = rows.join(large, same).unionByName(rows.join(large, same, "left_anti").join(named.filter(~hot), same))
+    return met.drop(*[f"__{c}" for c in key])
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """Rows set apart: crc32 of the id as text leaves ``remainder`` modulo ``modulus``."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfspark.llm import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, pii, quality_pu, sentencepiece_codec, toxicity, url_filter
+from shelfspark.llm import anchor_codes, chosen_path, embedding_dedup, exact_dedup, exact_topk, importance_resampling, line_dedup, mixture, pii, quality_pu, sentencepiece_codec, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, score double, leaf long, block int, n int, source_size long, target double, n_lines string, spans string, ids string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -134,6 +134,58 @@ def test_values_on_edge_rows(spark, docs):
     assert out == [(0, 1, 0, "email:0:5"), (1, 0, 0, ""), (1, 1, 1, "email:0:5,ip:10:18"), (2, 0, 0, "")]
 
 
+def test_mixture_keeps_ids_beyond_doubles(spark):
+    """A null id and ids above 2**53 in one block: no id is lost, none is made up, no row goes."""
+    ids = [None, *[(1 << 53) + 2 * i + 1 for i in range(40)]]
+    df = spark.createDataFrame([(i, f"word {'x ' * (n % 7)}{n}", "s", "k") for n, i in enumerate(ids)], "doc_id long, text string, source string, key string")
+    got = {r["doc_id"]: r["copies"] for r in mixture.mix(df).collect()}
+    assert set(got) == set(ids) and len(got) == 41
+    rows = [r["doc_id"] for r in mixture.remix(df).collect()]
+    assert {i: rows.count(i) for i in ids} == got
+    small = spark.createDataFrame([(i % 3 if i else None, f"w {i}", None) for i in range(60)], "doc_id long, text string, source string")
+    assert mixture.remix(small).count() == sum(r["copies"] for r in mixture.mix(small).collect())
+
+
+def test_exact_dedup(spark, docs, empty):
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    by_text = {r["doc_id"]: r for r in got}
+    assert [by_text[i]["group_size"] for i in (1, 2, 3, 4, 5, None)] == [4, 4, 2, 2, 1, 4]
+    assert by_text[None]["keep_id"] == 1 and by_text[4]["keep_id"] == 3 and not by_text[2]["kept"]
+    assert sorted(r["kept"] for r in got if r["doc_id"] == 1) == [False, True]  # rows equal in id and text: one stays
+    nulls = spark.createDataFrame([(None, "a  b"), (None, "a\tb"), (None, "ab"), (7, "c "), (None, "c\n")], "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(nulls).collect())
+    assert out == [(0, 0, 1, True), (0, 0, 2, False), (0, 0, 2, True), (0, 7, 2, False), (7, 7, 2, True)]
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+    left = exact_dedup.deduplicated(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.select("doc_id").collect()) == [1, 3, 5, 6, 7, 8, 9]
+
+
+def test_codes(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(5, [1.0, 0.0, 0.5, 0.25]), (2, [1.0, 0.01, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (4, None), (6, []), (7, [nan, 1.0, 0.0, 0.0]), (8, [inf, 1.0, 0.0, 0.0]), (9, [None, 1.0, 0.0, 0.0]), (10, [1.0, -0.1]), (None, [0.0, 0.0, 0.0, -1.0])]
+    v = spark.createDataFrame([(i, e, None if (i or 0) > 4 else 1, 1, "t", 5) for i, e in rows], VECTORS)
+    got = sorted(((r["vec_id"] or 0, r["code"], r["error"], r["label_error"]) for r in anchor_codes.compress(v).collect()))
+    # three entries for the four rows of length 4 that differ, lower indexes for equal entries; other lengths apart
+    assert [g[0] for g in got] == [0, 2, 2, 5, 6, 10] and {g[2] for g in got} == {0} and {g[3] for g in got} == {0}
+    assert got[1] == got[2] and got[4][1] == "00000000" == got[5][1]
+    assert anchor_codes.compress(v.limit(0)).count() == 0 and anchor_codes.compress(v.filter("vec_id = 4")).count() == 0
+    with pytest.raises(Exception, match="too large"):
+        anchor_codes.compress(spark.createDataFrame([(1, [1e30, 0.0, 0.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")).count()
+
+
+def test_resampling(spark, docs, empty):
+    target = docs.select(F.col("text").alias("words"), "key")
+    got = importance_resampling.resample(docs, target, target_text="words", min_words=2).collect()
+    assert len(got) == docs.count()
+    fit = [r for r in got if r["n_features"] >= 3]
+    ranks = sorted(r["rank"] for r in got if r["rank"])
+    assert ranks == list(range(1, len(fit) * 25 // 100 + 1)) and all(r["n_features"] >= 3 for r in got if r["rank"])
+    assert {(r["n_features"], r["weight"]) for r in got if r["doc_id"] in (3, 4, 8)} == {(0, 0)}
+    assert importance_resampling.resample(empty, target, target_text="words").count() == 0
+    assert importance_resampling.resample(docs, empty, percent=100, min_words=0).filter("rank is null").count() == 0
+
+
 @pytest.mark.parametrize("rows", ["docs", "empty"])
 def test_stages(spark, request, labels, tmp_path, rows):
     labels.write.parquet(str(tmp_path / "labels.parquet"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from shelfspark.llm import chosen_path, embedding_dedup, exact_topk, line_dedup, mixture, pii, quality_pu, queries, sentencepiece_codec, toxicity
+from shelfspark.llm import anchor_codes, chosen_path, embedding_dedup, exact_dedup, exact_topk, importance_resampling, line_dedup, mixture, pii, quality_pu, queries, sentencepiece_codec, toxicity
 from shelfspark.llm.common import components
 from shelfspark.llm.sentencepiece_codec import vocabulary
 
@@ -477,3 +477,127 @@ def test_quality_risk_gradient_and_prior():
     good, bad = rng.standard_normal((6000, 3)) + 1.6, rng.standard_normal((6000, 3)) - 1.6
     mixed = np.concatenate([good[3000:4800], bad[:4200]])
     assert abs(quality_pu.estimate_prior(good[:3000], mixed) - 0.3) < 0.06
+
+
+# ---------------------------------------------------------------- exact dedup, vector codes, resampling
+
+
+def test_rice_code():
+    rng = np.random.default_rng(1)
+    for width, n in ((1, 1), (50, 50), (1 << 20, 3), (1 << 40, 5000), (10**6, 400000)):
+        values = np.unique(rng.integers(0, width, n)).astype(np.uint64)
+        k = exact_dedup.rice_parameter(width, len(values))
+        unary, rest = exact_dedup.rice_encode(values, k)
+        assert (exact_dedup.rice_decode(len(values), k, unary, rest) == values.astype(np.int64)).all()
+    assert len(unary) + len(rest) < 8 * len(values) / 10  # a dense set takes few bits a value
+    clustered = np.r_[np.arange(3000), (1 << 40) - 1].astype(np.uint64)
+    k = exact_dedup.rice_parameter(1 << 40, len(clustered))
+    unary, rest = exact_dedup.rice_encode(clustered, k)
+    assert len(unary) <= len(clustered) and (exact_dedup.rice_decode(len(clustered), k, unary, rest) == clustered.astype(np.int64)).all()
+
+
+@pytest.mark.parametrize("bits", [None, 6])
+def test_exact_dedup_over_many_messages(spark, bits):
+    """A third of all rows are one text. Fingerprints of 6 bits make every row a suspect: texts decide."""
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = ["the hot text"] * 500 + [" ".join(rng.choices(words, k=5)) for _ in range(600)] + [f"only {i}" for i in range(400)]
+    rng.shuffle(texts)
+    rows = [(i, t.replace(" ", rng.choice([" ", "  ", "\t", "\n ", "\x0b"])) if i % 3 else t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub("[ \\t-\\r]+", " ", t)].append(i)
+    want = sorted((i, min(g), len(g), i == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+    assert sorted(tuple(r) for r in exact_dedup.exact_duplicates(df, message_bits=5, bits=bits).collect()) == want
+
+
+def test_only_suspects_are_shuffled(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i % 990}") for i in range(1000)], "doc_id long, text string").repartition(5)
+    name = exact_dedup.write_senders(df, "text", 6)
+    rows = spark.table(name)
+    marks = exact_dedup.suspects(rows, 30, 3).collect()
+    assert 20 <= len(marks) <= 24  # ten pairs, and hardly a false one
+    mark = spark.createDataFrame(marks, "message long, uid long")
+    with exact_dedup._placed_by_message(spark):
+        plan = rows.join(mark.hint("merge"), ["message", "uid"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan  # the marks' own
+
+
+def _lloyd(x, parts, entries, rounds):
+    codes, error, books = np.empty((len(x), parts), int), np.zeros(len(x), int), []
+    for p, y in enumerate(np.split(x, parts, 1)):
+        book = y[:entries].copy()
+        for r in range(rounds + 1):
+            d = ((y[:, None] - book[None]) ** 2).sum(2)
+            at = d.argmin(1)
+            if r < rounds:
+                for e in range(len(book)):
+                    if (at == e).any():
+                        book[e] = y[at == e].sum(0) // (at == e).sum()
+        codes[:, p], books = at, [*books, book]
+        error += d.min(1)
+    return codes, error, books
+
+
+@pytest.mark.parametrize("kind", ["clustered", "ties", "huge"])
+def test_codes_against_brute_force(spark, kind):
+    rng = np.random.default_rng(6)
+    if kind == "clustered":
+        x = (rng.standard_normal((40, 16)) * 3)[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 16)) / 10
+    elif kind == "ties":  # few values, a third of all rows equal
+        x = rng.integers(-2, 3, (1500, 8)) / 2.0
+        x[::3] = x[0]
+    else:  # beyond exact doubles
+        x = rng.standard_normal((300, 8)) * 40000
+    rows = [(i, v.tolist(), i % 5 if i % 7 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r for r in anchor_codes.compress(df, entries=32).collect()}
+    n = np.floor(x * 1024).astype(np.int64)
+    codes, error, books = _lloyd(n, 4, 32, 4)
+    sha = hashlib.sha256(",".join(str(v) for b in books for v in b.ravel()).encode()).hexdigest()
+    per = defaultdict(int)
+    for i, e, in enumerate(error):
+        per[rows[i][2]] += int(e)
+    for i in range(len(x)):
+        r = got[i]
+        assert (r["code"], r["error"], r["label_error"], r["codebooks_sha256"]) == ("".join(f"{c:02x}" for c in codes[i]), error[i], per[rows[i][2]], sha)
+
+
+def test_trees_save_distances():
+    """On clustered rows most balls are owned whole by one entry; every node's ball holds its rows."""
+    rng = np.random.default_rng(2)
+    x = np.floor(((rng.standard_normal((30, 8)) * 4)[rng.integers(0, 30, 4000)] + rng.standard_normal((4000, 8)) / 20) * 1024).astype(np.int32)
+    tree = anchor_codes.Tree(x)
+    assert sorted(tree.order) == list(range(4000)) and tree.skip[0] == len(tree.runs) > 100
+    for (a, b), centre, radius, total in zip(tree.runs, tree.centre, tree.radius, tree.sums):
+        rows = x[tree.order[a:b]].astype(float)
+        assert np.sqrt(((rows - centre) ** 2).sum(1)).max() <= radius + 1e-6 and (rows.sum(0) == total).all()
+    balls, places, at, saved = anchor_codes.owned(tree, x, anchor_codes.Entries(x[:30].astype(np.int64)))
+    assert saved["looked_at"] < 0.5 * saved["rows"] and sum(tree.runs[n][1] - tree.runs[n][0] for n, _ in balls) + len(places) == 4000
+
+
+def test_crc_of_features():
+    texts = pa.array(["Hello, World! hello 123-x", None, "", "Ünïcode wörds " + "y" * 500, "one"])
+    got = defaultdict(list)
+    base = 0
+    for n, words, doc, bucket in importance_resampling.features(texts):
+        for d, b in zip(doc, bucket):
+            got[base + d].append(b)
+        base += n
+    for i, t in enumerate(texts.to_pylist()):
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        want = [zlib.crc32(f.encode()) % 10000 for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+        assert sorted(got[i]) == sorted(want)
+
+
+@pytest.mark.parametrize("spread", [0.002, 0.2, 1e-9])
+def test_cutoff(spark, spread):
+    """Many ties; a bracket that misses is widened until the counts prove it."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(40) if rng.random() < 0.7 else rng.randrange(1000), i // 2 if i % 9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "score long, doc_id long, uid long")
+    order = sorted(rows, key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[2]))
+    for k in (1, 2, 750, 2999, 3000):
+        s, i, u = order[k - 1]
+        assert tuple(importance_resampling.cutoff(df, k, spread, accuracy=50)) == (-s, i is None, i or 0, u)
