@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import join_facts, materialize
 
-LEAF = 32
+LEAF = 128
 BLOCK_VALUES = 1 << 18
 Codebooks = dict[int, list[np.ndarray]]
 
@@ -144,7 +144,11 @@ class Entries:
         _, first = np.unique(entries, axis=0, return_index=True) if len(entries) else (None, np.empty(0, np.int64))
         self.first = np.sort(first)
         self.real = entries.astype(float)
-        self.apart = np.sqrt(((self.real[:, None] - self.real[None]) ** 2).sum(2))
+        if 4 * float(np.abs(self.real).max(initial=0)) ** 2 * max(entries.shape[1], 1) < 1 << 52:  # exact integers
+            norm = (self.real**2).sum(1)
+            self.apart = np.sqrt(norm[:, None] + norm[None] - 2 * self.real @ self.real.T)
+        else:
+            self.apart = np.sqrt(((self.real[:, None] - self.real[None]) ** 2).sum(2))
 
 
 def nearest(rows: np.ndarray, entries: np.ndarray) -> np.ndarray:
