@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.order import stored
+from . import raw_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +61,8 @@ VIEWS = {
         WHEN 11 THEN concat(8 + z % 8, 'GB DDR', 3 + z % 3) WHEN 12 THEN CASE WHEN z % 2 = 0 THEN 'AMD Ryzen 7' ELSE 'core i5' END WHEN 13 THEN concat(a, ' B', 600 + z) ELSE concat(60 + z, 'mm ', b, ' fan') END AS query
         FROM (SELECT c_custkey AS query_id, c_custkey % 15 AS k, c_custkey % 49 AS z, CASE c_custkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'small' WHEN 2 THEN 'blue' ELSE 'hot' END AS a, CASE c_custkey % 7 WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' WHEN 2 THEN 'bolt' WHEN 3 THEN 'gear' WHEN 4 THEN 'ring' WHEN 5 THEN 'gear' ELSE 'bolt' END AS b,
             CASE c_custkey % 11 WHEN 0 THEN 'gpu' WHEN 1 THEN 'case_fan' WHEN 2 THEN 'cpu' WHEN 3 THEN 'memory' WHEN 4 THEN 'motherboard' WHEN 5 THEN 'storage' WHEN 6 THEN 'gpu' WHEN 7 THEN 'cpu' ELSE 'case_fan' END AS other FROM {customer})""",
+    "v_raw": raw_cases.raw_view(),
+    "v_broken": raw_cases.broken_view(),
     "v_docs": "SELECT doc_id, lang AS category, text FROM {documents}",
     "v_events": "SELECT event_id, ts, user_id, event_type AS class, value AS cost, props FROM {events}",
 }

@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import contract
+from ..operators import contract, records
+from ..operators.categories import CATEGORIES, ORIGINAL
 from ..sources import snapshot
+from . import raw_cases
 from .base import Catalog, query
 
 
+def _documents(c: Catalog) -> DataFrame:
+    """One raw document for each product, over all categories, parsed."""
+    return c.raw.select("product_id", "category", F.try_parse_json("raw").alias("doc"))
+
+
 @query("SELECT p_partkey, nullif(trim(regexp_replace('  ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '   x ' ELSE '' END, '\\s+', ' ', 'g')), '') AS name FROM part")
 def norm_text(c: Catalog) -> DataFrame:
     raw = F.concat(F.lit("  "), "p_name", F.when(F.col("p_partkey") % 3 == 0, "   x ").otherwise(""))
@@ -87,29 +94,17 @@ def extract_pcie(c: Catalog) -> DataFrame:
     return c.part.select("p_partkey", generation.alias("generation"), lanes.alias("lanes"))
 
 
-@query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 2 AS DOUBLE) ELSE p_retailprice END AS capacity_gb, 2 AS kit_quantity,
-    CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) ELSE CAST(p_size + 5 AS DOUBLE) END AS noise_max_db,
-    CASE WHEN p_partkey % 4 <> 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END END AS xmp, CASE WHEN p_partkey % 4 <> 3 THEN p_partkey % 4 END AS m2_slots, p_size + 4 AS sata_ports FROM part"""
-)
+@query(raw_cases.expected_specs(list(ORIGINAL)))
 def derive_specs(c: Catalog) -> DataFrame:
-    k, size = F.col("p_partkey"), F.col("p_size")
-    raw = c.part.select(
-        k, F.when(k % 3 != 0, F.col("p_retailprice")).alias("capacity"), F.struct(size.cast("double").alias("capacity_gb"), F.lit(2).alias("quantity")).alias("modules"),
-        size.cast("double").alias("min_noise"), F.when(k % 7 != 0, (size + 5).cast("double")).alias("max_noise"),
-        F.when(k % 4 != 3, F.when(k % 2 == 0, F.array(F.lit("XMP"))).otherwise(F.array(F.lit("EXPO")))).alias("profiles"),
-        F.when(k % 4 != 3, F.slice(F.array(*[F.lit(x) for x in "abc"]), 1, (k % 4).cast("int"))).alias("m2"), size.alias("sata_6"), F.lit(4).alias("sata_3"),
-    )
-    return raw.select(*contract.derived_specs())
+    """Typed specs of the nine original categories from raw documents: families, series, fallbacks,
+    products, sums, sizes and memberships, each row a known spec."""
+    return records.spec_values(_documents(c), ["product_id"], list(ORIGINAL))
 
 
-@query(
-    """SELECT p_partkey, p_size AS size_mm, p_retailprice AS price, p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS wireless FROM part"""
-)
+@query(raw_cases.expected_specs([k for k in CATEGORIES if k not in ORIGINAL]))
 def map_declared_specs(c: Catalog) -> DataFrame:
-    doc = F.struct(F.struct(F.col("p_size").alias("mm")).alias("size"), F.col("p_retailprice").alias("price"), F.struct(F.col("p_brand").alias("name")).alias("maker"), (F.col("p_partkey") % 2 == 0).alias("wireless"))
-    raw = c.part.select("p_partkey", F.to_json(doc).alias("raw"))
-    return contract.declared_specs(raw, {"size_mm": ("$.size.mm", "int"), "price": ("$.price", "double"), "brand": ("$.maker.name", "string"), "wireless": ("$.wireless", "boolean")}, ["p_partkey"])
+    """Typed specs of the 21 categories that the registry declares by path and conversion."""
+    return records.spec_values(_documents(c), ["product_id"], [k for k in CATEGORIES if k not in ORIGINAL])
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS rank FROM orders")
@@ -198,26 +193,17 @@ def name_keys(c: Catalog) -> DataFrame:
 
 # ---------------------------------------------------------------- validation
 
-@query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 31 = 0 THEN 'invalid_key' WHEN p_partkey % 37 = 0 THEN 'invalid_name' WHEN p_size > 48 THEN 'raw_size_limit' ELSE 'accepted' END AS code FROM part"""
-)
+@query("SELECT product_id, expected AS code FROM v_broken")
 def quarantine_records(c: Catalog) -> DataFrame:
-    k = F.col("p_partkey")
-    h = F.md5(k.cast("string").cast("binary"))
-    key = F.when(k % 31 == 0, h).otherwise(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12)))
-    raw = c.part.select("p_partkey", key.alias("upstream_key"), F.when(k % 37 == 0, " - ").otherwise(F.col("p_name")).alias("name"), F.repeat(F.lit("x"), F.col("p_size")).alias("raw"))
-    return contract.reject_code(raw, max_bytes=48).select("p_partkey", "code")
+    """The contract's product-level rules over whole documents: too deep, too many nodes, too long, not
+    JSON, no identity, no name, no known category."""
+    return records.rejected(c.broken.select("product_id", "category", "raw")).select("product_id", "code")
 
 
-@query(
-    """SELECT p_partkey AS product_id, 'size_mm' AS field, 'range' AS issue FROM part WHERE p_size > 45
-    UNION ALL SELECT p_partkey, 'price', 'range' FROM part WHERE p_retailprice > 990 UNION ALL SELECT p_partkey, 'name', 'type' FROM part WHERE p_partkey % 41 = 0"""
-)
+@query(raw_cases.expected_issues())
 def null_invalid_fields(c: Catalog) -> DataFrame:
-    rows = c.part.select(F.col("p_partkey").alias("product_id"), F.col("p_size").alias("size_mm"), F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 41 != 0, F.col("p_name")).alias("name"))
-    rules = {"size_mm": [("range", F.col("size_mm") > 45)], "price": [("range", F.col("price") > 990)], "name": [("type", F.col("name").isNull())]}
-    _, issues = contract.null_invalid(rows, rules, "product_id")
-    return issues
+    """Every field of every category that is not what the registry asks for, by rule and path."""
+    return records.issues(_documents(c), ["product_id"])
 
 
 @query(
@@ -286,9 +272,10 @@ def parse_raw_json(c: Catalog) -> DataFrame:
     return snapshot.parse_json(c.events.select("event_id", F.col("props").alias("raw")), max_bytes=9).select("event_id", F.try_variant_get("doc", "$.k", "bigint").alias("k"), "status")
 
 
-@query("SELECT event_type AS category, 'k' AS path, count(*) AS n FROM events GROUP BY 1")
+@query(raw_cases.expected_paths())
 def field_path_profile(c: Catalog) -> DataFrame:
-    return snapshot.unmodeled_paths(c.events.select(F.col("class").alias("category"), F.col("props").alias("raw")), modeled=["known"])
+    """How often each unmodeled path occurs in a category, at any level of the registry's tree."""
+    return records.unmodeled(_documents(c))
 
 
 @query(
