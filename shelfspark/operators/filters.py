@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import in_ranges
+
 
 def scope(products: DataFrame, category: str) -> DataFrame:
     return products.filter((F.col("category") == category) & (F.col("active") == 1))
@@ -42,13 +44,13 @@ def request_hits(values: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, product_id) of a whole table of requests in one job. ``requests``: (request_id,
     category, conditions array of (field, value, low, high)); a condition without a value is a
     range. ``values``: (product_id, category, field, value, number), several rows per field for
-    facets. A product must meet every field of the request, any condition of a field."""
+    facets. A product must meet every field of the request, any condition of a field. Ranges meet
+    numbers by equality of cells (``ranges``), values by equality."""
     conditions = requests.select("request_id", "category", F.size(F.array_distinct(F.transform("conditions", lambda x: x["field"]))).alias("n"), F.inline("conditions"))
     equal = conditions.filter(F.col("value").isNotNull()).select("request_id", "category", "n", "field", "value")
     ranged = conditions.filter(F.col("value").isNull()).select("request_id", "category", "n", "field", "low", "high")
     hit = values.join(equal, ["category", "field", "value"]).select("request_id", "product_id", "n", "field")
-    inside = (F.col("low").isNull() | (F.col("number") >= F.col("low"))) & (F.col("high").isNull() | (F.col("number") <= F.col("high")))
-    hit = hit.unionByName(values.filter(F.col("number").isNotNull()).join(ranged, ["category", "field"]).filter(inside).select("request_id", "product_id", "n", "field"))
+    hit = hit.unionByName(in_ranges(values, ranged, ["category", "field"]).select("request_id", "product_id", "n", "field"))
     met = hit.groupBy("request_id", "product_id", "n").agg(F.count_distinct("field").alias("met"))
     return met.filter("met = n").select("request_id", "product_id")
 

@@ -5,12 +5,16 @@ DataFrame operators of the library, and their oracle SQL on the same views."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.order import stored
+from ..operators.segments import SegmentIndex
+from ..sources.snapshot import shared_dir
 from . import raw_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,17 +87,38 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table that many queries read (postings, their statistics), written once for a session and
-        data folder under the shared folder."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in STORED:
+        self.versions: dict[str, str] = {}
+
+    def version(self, *tables: str) -> str:
+        """A fingerprint of the tables' files: their paths, sizes and times. One row comes to the driver."""
+        for t in tables:
+            if t not in self.versions:
+                files = self.spark.read.format("binaryFile").load(f"{self.sf_dir}/{t}.parquet").select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+                self.versions[t] = "-".join(str(x) for x in files.agg(F.count("*"), F.sum("h"), F.min("h")).first())
+        return ";".join(self.versions[t] for t in tables)
+
+    def _at(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, self.sf_dir, name
+
+    def stored(self, name: str, build: Callable[[], DataFrame], *tables: str) -> DataFrame:
+        """What many queries read and ``tables`` decide, written once under the shared folder; written
+        again when the tables' files are others than they were."""
+        key, version = self._at(name), self.version(*tables)
+        if key not in STORED or STORED[key][0] != version:
             df = stored(build())
-            STORED[key] = (df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None, df.schema)
-        path, schema = STORED[key]
+            STORED[key] = (version, df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None, df.schema)
+        _, path, schema = STORED[key]
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
+    def index(self, name: str, docs: Callable[[], DataFrame], doc: str, fields: list[str], *tables: str) -> DataFrame:
+        """Postings of ``docs``, kept in a segment index for the session: when the tables' files are
+        others than they were, the documents that differ are indexed again."""
+        held = SegmentIndex(self.spark, f"{shared_dir(self.spark)}/index/{hashlib.md5(repr(self._at(name)).encode()).hexdigest()}")
+        version = self.version(*tables)
+        if held.source() != version:
+            held.sync(docs(), doc, fields, version)
+        return held.read()
+
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, f"v_{name}") if f"v_{name}" in VIEWS else table(self.spark, self.sf_dir, name)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
 from ..operators import intents as I
 from ..operators import search as S
+from ..operators.segments import SegmentIndex
+from ..sources.snapshot import shared_dir
 from .base import Catalog, query
 
 _T = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
@@ -45,17 +49,17 @@ def _asked(c: Catalog) -> DataFrame:
 
 
 def _post(c: Catalog) -> DataFrame:
-    """Postings of the active products, written once for a session."""
-    return c.stored("product_postings", lambda: S.postings(c.products.filter("active = 1"), "product_id", _FIELDS))
+    """Postings of the active products, in a segment index."""
+    return c.index("product_postings", lambda: c.products.filter("active = 1"), "product_id", _FIELDS, "part")
 
 
 def _doc_post(c: Catalog) -> DataFrame:
-    return c.stored("language_postings", lambda: S.postings(c.docs, "doc_id", ["text"]))
+    return c.index("language_postings", lambda: c.docs, "doc_id", ["text"], "documents")
 
 
 def _all_post(c: Catalog) -> DataFrame:
     """All documents as one corpus, for passages that are asked of every language."""
-    return c.stored("doc_postings", lambda: S.postings(c.docs.withColumn("category", F.lit("all")), "doc_id", ["text"]))
+    return _doc_post(c).withColumn("category", F.lit("all"))
 
 
 def _queries(c: Catalog) -> DataFrame:
@@ -65,10 +69,10 @@ def _queries(c: Catalog) -> DataFrame:
     return c.supplier.select(s.alias("query_id"), category.alias("category"), text.alias("query"))
 
 
-@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_terms, array_to_string(t[1:3], ' ') AS head FROM (SELECT doc_id, {_T.format('text')} AS t FROM v_docs)")
+@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, {_T.format('text')} AS t FROM v_docs)")
 def tokenize(c: Catalog) -> DataFrame:
     t = c.docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct_terms"), F.array_join(F.slice("t", 1, 3), " ").alias("head"))
+    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct_terms"), F.sha2(F.array_join("t", " ").cast("binary"), 256).alias("terms_sha256"))
 
 
 @query(f"WITH {_POST} SELECT category, term, field, count(*) AS n, count(DISTINCT doc) AS docs, CAST(sum(pos) AS BIGINT) AS places FROM post GROUP BY 1, 2, 3")
@@ -80,12 +84,15 @@ def build_postings(c: Catalog) -> DataFrame:
     f"WITH {_POST}, fresh AS (SELECT category, doc, field, CASE WHEN doc % 9 = 0 AND field = 'name' THEN term || 'x' ELSE term END AS term, pos FROM post WHERE doc % 13 <> 0) SELECT category, term, count(*) AS n, count(DISTINCT doc) AS docs FROM fresh GROUP BY 1, 2"
 )
 def refresh_postings(c: Catalog) -> DataFrame:
-    """Products divisible by 9 get new names, those divisible by 13 are withdrawn."""
+    """Products divisible by 9 get new names, those divisible by 13 are withdrawn: the index takes a
+    segment with the changed products and their tombstones, then packs what lies in both."""
     products = c.products.filter("active = 1")
-    changed = products.filter("product_id % 9 = 0 OR product_id % 13 = 0").select(F.col("product_id").alias("doc"))
-    renamed = products.filter("product_id % 9 = 0 AND product_id % 13 <> 0").withColumn("name", F.concat(F.replace("name", F.lit(" "), F.lit("x ")), F.lit("x")))
-    fresh = S.refresh(_post(c), changed, S.postings(renamed, "product_id", _FIELDS))
-    return fresh.groupBy("category", "term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
+    held = SegmentIndex(c.spark, f"{shared_dir(c.spark)}/index/{uuid.uuid4().hex}")
+    held.sync(products, "product_id", _FIELDS, "before")
+    renamed = F.when(F.col("product_id") % 9 == 0, F.concat(F.replace("name", F.lit(" "), F.lit("x ")), F.lit("x"))).otherwise(F.col("name"))
+    held.sync(products.filter("product_id % 13 <> 0").withColumn("name", renamed), "product_id", _FIELDS, "after")
+    held.merge(most=1)
+    return held.read().groupBy("category", "term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
 
 
 @query(f"WITH {_POST}, {_STATS} SELECT category, term, df, occurrences, round(df / docs, 9) AS rate, round(idf, 6) AS idf FROM st")
@@ -202,7 +209,7 @@ _INTENT = """a AS (SELECT *, CASE category
 
 def _intents(c: Catalog) -> DataFrame:
     """The parsed queries, written once for a session: their plan of rules is long."""
-    return c.stored("ask_intents", lambda: I.parse(c.asks))
+    return c.stored("ask_intents", lambda: I.parse(c.asks), "part")
 
 
 @query(f"WITH {_INTENT} SELECT query_id, specs, remaining, chipset, residual, specs <> '' AND remaining = '' AS spec_only FROM intent")
