@@ -130,17 +130,20 @@ def spec_values(docs: DataFrame, keys: list[str], categories: list[str] | None =
     safe = once(held, [*own, "b"], F.when(F.size("array") <= LIMITS["array"], F.col("array")).alias("array"), *[F.when(sound(i), C.clean_text(F.col(f"s{i}"))).alias(f"t{i}") for i in (1, 2, 3)], *[n(i).alias(f"n{i}") for i in (1, 2, 3)])
     family = F.when(F.col("conversion").isin("family", "generation"), C.cpu_family(F.col("t1"), F.col("t2"), F.col("t3")))
     named = once(safe, [c for c in safe.columns if c != "t3"], family.alias("named"))
+    of = lambda name, c: F.when(F.col("conversion").startswith(name), c)
+    named = once(named, named.columns, of("pcie", C.pcie(F.col("t1"))[0]).alias("pcie"), of("pcie", C.pcie(F.col("t1"))[1]).cast("double").alias("lanes"))
+    named = once(named, named.columns, of("series", C.gpu_series(F.col("t1"))).alias("series"), F.when(F.col("conversion") == "brand", C.brand(F.col("t1"))).otherwise(of("socket", C.socket(F.col("t1")))).alias("spelled"))
     t1, n1, n2, n3 = (F.col(x) for x in ("t1", "n1", "n2", "n3"))
     whole = lambda x: F.when(x == F.floor(x), x)
     above = lambda x: F.when(x > 0, x)
     known = F.forall("array", lambda x: F.coalesce(safe_text(x).isin("XMP", "EXPO"), F.lit(False)))
     text = {
-        "text": t1, "brand": C.brand(t1), "socket": C.socket(t1), "series": C.gpu_series(t1), "family": F.col("named.family"),
+        "text": t1, "brand": F.col("spelled"), "socket": F.col("spelled"), "series": F.col("series"), "family": F.col("named.family"),
         "generation": F.col("named.generation"), "text|one_of": F.coalesce(t1, F.when(F.array_contains("wanted", F.col("t2")), F.col("t2"))),
     }
     number = {
         "number": n1, "positive": above(n1), "integer": whole(n1), "count": above(whole(n1)), "flag": F.col("b").cast("double"), "sum": whole(n1) + whole(n2), "number|number": F.coalesce(n1, n2),
-        "positive|product": F.coalesce(above(n1), above(n2 * n3)), "pcie_generation": C.pcie(t1)[0], "pcie_lanes": C.pcie(t1)[1].cast("double"), "rate": enum_value(t1, RATES).cast("double"),
+        "positive|product": F.coalesce(above(n1), above(n2 * n3)), "pcie_generation": F.col("pcie"), "pcie_lanes": F.col("lanes"), "rate": enum_value(t1, RATES).cast("double"),
         "size": F.when(F.forall("array", lambda x: F.coalesce(kind(x) == "object", F.lit(False))), F.size("array")).cast("double"),
         "holds": F.when(known, F.exists("array", lambda x: F.try_variant_get(x, "$", "string") == F.get("wanted", F.lit(0)))).cast("double"),
     }
