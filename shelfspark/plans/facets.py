@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import facet_bits
 from ..operators import filters as P
 from .base import Catalog, query
 
@@ -154,28 +155,22 @@ def option_limit(c: Catalog) -> DataFrame:
     return out.select("field", F.when(F.assert_true(F.col("options") <= 512, F.lit("too many options")).isNull(), F.col("options")).alias("options"))
 
 
-@query(
-    """WITH rows AS (SELECT p.product_id, manufacturer, CAST(size_mm AS VARCHAR) AS size_mm FROM v_products p JOIN v_spec s ON p.product_id = s.product_id WHERE category = 'large' AND active = 1 AND price >= 920)
-    SELECT 'manufacturer' AS field, manufacturer AS value, count(*) AS n FROM rows GROUP BY 2 UNION ALL SELECT 'size_mm', size_mm, count(*) FROM rows WHERE size_mm IS NOT NULL GROUP BY 2
-    UNION ALL SELECT attribute, value, count(*) FROM v_facets f JOIN rows ON f.product_id = rows.product_id GROUP BY 1, 2"""
-)
+_FACETS_SQL = f"""WITH {_REQUESTS_SQL}, met AS (SELECT request_id, p.product_id, manufacturer, size_mm, coalesce(size_mm BETWEEN low AND high, false) AS in_size, brand IS NULL OR manufacturer = brand AS in_brand,
+        word IS NULL OR EXISTS (SELECT 1 FROM v_facets f WHERE f.product_id = p.product_id AND attribute = 'word' AND value = word) AS in_word FROM r JOIN v_products p ON p.category = r.category AND active = 1 JOIN v_spec s ON s.product_id = p.product_id),
+    has AS (SELECT product_id, 'manufacturer' AS field, manufacturer AS value FROM v_products UNION ALL SELECT product_id, 'size_mm', CAST(size_mm AS VARCHAR(20)) FROM v_spec WHERE size_mm IS NOT NULL UNION ALL SELECT product_id, attribute, value FROM v_facets)
+    SELECT request_id, field, value, count(*) AS n FROM met JOIN has ON has.product_id = met.product_id WHERE """
+
+
+@query(_FACETS_SQL + "in_size AND in_brand AND in_word GROUP BY request_id, field, value")
 def facet_counts(c: Catalog) -> DataFrame:
-    rows = P.scope(c.products, "large").join(c.spec, "product_id").filter(P.within(F.col("price"), low=920))
-    multi = c.facets.join(rows.select("product_id"), "product_id", "left_semi").groupBy(F.col("attribute").alias("field"), "value").agg(F.count("*").alias("n"))
-    return P.option_rows(rows, ["manufacturer", "size_mm"], []).unionByName(multi)
+    """Products per field and value under all conditions of each request."""
+    return facet_bits.counts(_values(c), _requests(c), own=True)
 
 
-@query(
-    """WITH rows AS (SELECT p.product_id, manufacturer, size_mm, release_year FROM v_products p JOIN v_spec s ON p.product_id = s.product_id WHERE category = 'small' AND active = 1),
-    f AS (SELECT *, coalesce(manufacturer IN ('Brand#1', 'Brand#9'), false) AS m, coalesce(size_mm BETWEEN 10 AND 40, false) AS s, coalesce(release_year >= 2005, false) AS y FROM rows)
-    SELECT 'manufacturer' AS field, manufacturer AS value, count(*) AS n FROM f WHERE s AND y GROUP BY 2
-    UNION ALL SELECT 'size_mm', CAST(size_mm AS VARCHAR), count(*) FROM f WHERE m AND y AND size_mm IS NOT NULL GROUP BY 2
-    UNION ALL SELECT 'release_year', CAST(release_year AS VARCHAR), count(*) FROM f WHERE m AND s AND release_year IS NOT NULL GROUP BY 2"""
-)
+@query(_FACETS_SQL + "(in_size OR field = 'size_mm') AND (in_brand OR field = 'manufacturer') AND (in_word OR field = 'word') GROUP BY request_id, field, value")
 def facet_self_exclude(c: Catalog) -> DataFrame:
-    rows = P.scope(c.products, "small").join(c.spec, "product_id")
-    conditions = {"manufacturer": F.col("manufacturer").isin("Brand#1", "Brand#9"), "size_mm": P.within(F.col("size_mm"), 10, 40), "release_year": P.within(F.col("release_year"), low=2005)}
-    return P.self_excluding_counts(rows, ["manufacturer", "size_mm", "release_year"], conditions)
+    """Each field of each request counted without the field's own conditions."""
+    return facet_bits.counts(_values(c), _requests(c))
 
 
 @query(

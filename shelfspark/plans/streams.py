@@ -17,12 +17,12 @@ def _events(c: Catalog) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS start, class, count(*) AS requests, round(sum(cost), 4) AS cost, max(cost) AS largest FROM v_events GROUP BY 1, 2")
 def stream_request_metrics(c: Catalog) -> DataFrame:
-    return J.final_result(J.request_metrics(_events(c))).withColumn("cost", F.round("cost", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return J.latest_updates(J.request_metrics(_events(c)), "start", "class").withColumn("cost", F.round("cost", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, class, count(*) AS n, greatest(0, count(*) - 5) AS excess FROM v_events GROUP BY 1, 2")
 def stream_budget_excess(c: Catalog) -> DataFrame:
-    return J.final_result(J.budget_excess(_events(c), 5)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return J.latest_updates(J.budget_excess(_events(c), 5), "start", "class").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(
@@ -42,4 +42,4 @@ def stream_ingest(c: Catalog) -> DataFrame:
     new = J.table_stream(c.spark, c.sf_dir, "part").filter(k % 17 != 0)
     new = new.select(F.concat(F.lit("K"), k.cast("string")).alias("upstream_key"), F.col("p_name").alias("name"), F.when(k % 7 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")).alias("price"), F.lit(1).alias("version"))
     store = c.snapshot_a.select("upstream_key", "name", "price", F.lit(0).alias("version"))
-    return J.ingest(new, store, lambda old, batch: S.upsert(old, batch, ["upstream_key"], "version"))
+    return J.ingest(new, store, "upstream_key", lambda old, batch: S.upsert(old, batch, ["upstream_key"], "version"))

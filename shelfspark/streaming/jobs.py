@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.snapshot import shared_dir
+from .store import BucketStore
 
 SUMMARY = "product_id long, status string, lowest_price long, observed_at timestamp"
 STATE = "observed_ms long, offer_id long, price long"
@@ -29,22 +30,9 @@ def run_available(stream: DataFrame, mode: str, each: Callable[[DataFrame, int],
     q.awaitTermination()
 
 
-def final_result(stream: DataFrame) -> DataFrame:
-    """The complete-mode result after all available input; every batch replaces the last one's
-    files under a new name, so a batch that is tried again does no harm."""
-    at = f"{shared_dir(stream.sparkSession)}/stream-out/{uuid.uuid4().hex}"
-    last: dict[str, int] = {}
-
-    def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/{n}")
-        last["n"] = n
-
-    run_available(stream, "complete", each)
-    return stream.sparkSession.read.parquet(f"{at}/{last['n']}")
-
-
 def request_metrics(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and cost of requests per class and tumbling window."""
+    """Counts and cost of requests per class and tumbling window. Run in update mode (``latest_updates``):
+    a window's state goes when the watermark has passed it, and rows later than that are dropped."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "class")
     return w.agg(F.count("*").alias("requests"), F.sum("cost").alias("cost"), F.max("cost").alias("largest")).select(F.col("w.start").alias("start"), "class", "requests", "cost", "largest")
 
@@ -82,30 +70,25 @@ def offer_summary(offers: DataFrame, ttl_days: int = 60, late: str = "10 minutes
     return grouped.applyInPandasWithState(_summarize(ttl_days * 86_400_000), SUMMARY, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_updates(stream: DataFrame, key: str) -> DataFrame:
-    """Run an update-mode stream; the last update of each key."""
-    at = f"{shared_dir(stream.sparkSession)}/stream-out/{uuid.uuid4().hex}"
+def latest_updates(stream: DataFrame, *keys: str) -> DataFrame:
+    """Run an update-mode stream; the last update of each key. A stream without input gives no rows."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream-out/{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(-1)).write.parquet(f"{at}/batch_id=-1")
     run_available(stream, "update", lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/batch_id={n}"))
-    got = stream.sparkSession.read.parquet(at)
-    rest = F.struct(*[c for c in got.columns if c not in (key, "batch", "batch_id")])
-    return got.groupBy(key).agg(F.max_by(rest, "batch").alias("r")).select(key, "r.*")
+    got = spark.read.parquet(at)
+    rest = F.struct(*[c for c in got.columns if c not in (*keys, "batch", "batch_id")])
+    return got.groupBy(*keys).agg(F.max_by(rest, "batch").alias("r")).select(*keys, "r.*")
 
 
-def ingest(stream: DataFrame, store: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Merge every micro-batch into the store; each version is written apart, then becomes the
-    current one, so a repeated batch starts from the version before it."""
+def ingest(stream: DataFrame, store: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Merge every micro-batch into the keyed store: a batch rewrites the buckets that it touches and changes,
+    and a repeated batch none."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/store/{uuid.uuid4().hex}"
-    store.write.parquet(f"{at}/start")
-    versions = {-1: f"{at}/start"}
-
-    def each(batch: DataFrame, n: int) -> None:
-        before = versions[max(v for v in versions if v < n)]
-        merge(spark.read.parquet(before), batch).write.mode("overwrite").parquet(f"{at}/{n}")
-        versions[n] = f"{at}/{n}"
-
-    run_available(stream, "append", each)
-    return spark.read.parquet(versions[max(versions)])
+    held = BucketStore(spark, f"{shared_dir(spark)}/store/{uuid.uuid4().hex}", key, store.schema.simpleString()[7:-1].replace(":", " "))
+    held.merge(store, -1, lambda old, rows: rows)
+    run_available(stream, "append", lambda batch, n: held.merge(batch, n, merge))
+    return held.read()
 
 
 def hit_rate(hit: Column) -> Column:
