@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import tokens
 
 
-# fixed values: case classes that browse
+# fixed values: the pattern of a model number in a query, and case classes that browse
+MODEL_LIKE = "^[a-z]{0,5}[0-9]{3,5}[a-z0-9]{0,4}$"
 BROWSE = ("family", "broad", "spec_only", "model_spec", "typed_spec", "facet", "range")
 
 
@@ -21,7 +22,7 @@ def intent_of(given: Column, identifier: Column, keyword: Column, filters: Colum
 
 def cost_class(keyword: Column, spec_only: Column) -> Column:
     """Predicted cost of a request: a plain listing, a model number, or anything else."""
-    model = F.exists(tokens(keyword), lambda t: F.regexp_like(t, F.lit("^[a-z]{0,5}[0-9]{3,5}[a-z0-9]{0,4}$")))
+    model = F.exists(tokens(keyword), lambda t: F.regexp_like(t, F.lit(MODEL_LIKE)))
     return F.when(keyword.isNull(), "bootstrap").when(~spec_only & model, "normal").otherwise("expensive")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import stored
 from .ranges import in_ranges
 
 KEY = ["category", "field", "value"]
@@ -42,7 +43,7 @@ def chosen(held: DataFrame, requests: DataFrame) -> DataFrame:
 def counts(values: DataFrame, requests: DataFrame, own: bool = False) -> DataFrame:
     """(request_id, field, value, n) of every field and value of a request's category with any product
     under the request's conditions; without those of the counted field itself, if ``own`` is false."""
-    held = index(values)
+    held = stored(index(values))  # it feeds conditions, fields and counts
     met = chosen(held, requests)
     asked = requests.select("request_id", "category", F.array_distinct(F.transform("conditions", lambda x: x["field"])).alias("fields"))
     none = F.lit("")  # no field is left out (a field has a name)

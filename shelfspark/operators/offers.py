@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_ranges
+
 from ..functions.columns import gtin_check
 
 
@@ -62,10 +64,17 @@ def newest(summaries: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def lookup(asked: DataFrame, products: DataFrame, summaries: DataFrame) -> DataFrame:
-    """(pos, product_id, status, lowest_price) at ``asked_at``: a summary counts while observed_at
-    <= asked_at < expires_at; otherwise pending, and missing where there is no such product."""
-    live = (F.col("observed_at") <= F.col("asked_at")) & (F.col("asked_at") < F.col("expires_at"))
-    j = asked.join(products.select("product_id", F.lit(True).alias("known")), "product_id", "left")
-    s = asked.join(summaries, "product_id").filter(live).groupBy("pos").agg(F.max_by(F.struct("status", "lowest_price"), "observed_at").alias("s"))
-    status = F.when(F.col("known").isNull(), "missing").when(F.col("s").isNull(), "pending").otherwise(F.col("s.status"))
-    return j.join(s, "pos", "left").select("pos", "product_id", status.alias("status"), F.col("s.lowest_price").alias("lowest_price"))
+    """(pos, product_id, status, lowest_price, offer_count, fetched_at) for ``asked`` (pos, product_id, asked_at, epoch,
+    generation). A summary counts while observed_at <= asked_at < expires_at within its epoch and
+    generation, the newest first: complete, empty or unsupported; otherwise the product is pending, and missing where it is not
+    active. Times meet validity intervals by equality of cells within (product, epoch, generation), so that
+    a product with many summaries is not compared row by row."""
+    same = ["product_id", "epoch", "generation"]
+    at = lambda c: F.unix_micros(c) / 1e6
+    times = asked.select("pos", *same, at(F.col("asked_at")).alias("number"))
+    until = (F.unix_micros("expires_at") - 1) / 1e6  # the end itself is outside
+    valid = summaries.select(*same, at(F.col("observed_at")).alias("low"), until.alias("high"), F.struct("observed_at", "fetched_at", "status", "lowest_price", "offer_count").alias("s"))
+    found = in_ranges(times, valid, same).groupBy("pos").agg(F.max("s").alias("s"))
+    known = asked.select("pos", "product_id").join(products.filter("active = 1").select("product_id", F.lit(True).alias("known")), "product_id", "left").join(found, "pos", "left")
+    status = F.when(F.col("known").isNull(), "missing").otherwise(F.coalesce("s.status", F.lit("pending")))
+    return known.select("pos", "product_id", status.alias("status"), *[F.when(F.col("known"), F.col(f"s.{x}")).alias(x) for x in ("lowest_price", "offer_count", "fetched_at")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hash_tree import differences, tree
 from .order import ranked
 
 
@@ -107,12 +108,12 @@ def assign_ids(new: DataFrame, highest: int, key: str = "upstream_key") -> DataF
 
 
 def verify_state(planned: DataFrame, targets: DataFrame, stored: DataFrame, baseline: DataFrame, key: str = "upstream_key") -> DataFrame:
-    """(status, n): every stored row must equal its target (accepted) or its baseline (others)."""
+    """(key, status): rows of the store that are not their target (accepted) or their baseline (others),
+    are missing, or are extra. Both sides are compared by trees of hashes, down to the leaves that differ."""
     want = planned.join(targets.select(key, F.col("h").alias("target")), key, "left").join(baseline.select(key, F.col("h").alias("base")), key, "left")
-    want = want.select(key, F.when(F.col("mode") == "accepted", F.col("target")).otherwise(F.col("base")).alias("want"))
-    both = want.join(stored.select(key, F.col("h").alias("got")), key, "full_outer")
-    status = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("got") == F.col("want"), "ok").otherwise("differs")
-    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    want = want.select(key, F.when(F.col("mode") == "accepted", F.col("target")).otherwise(F.col("base")).alias("h"))
+    found, _ = differences(tree(want, key, "h"), tree(stored, key, "h"))
+    return found.withColumnRenamed("key", key)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -74,11 +74,22 @@ def upsert_summary(c: Catalog) -> DataFrame:
 
 
 @query(
-    """WITH asked AS (SELECT o_orderkey AS pos, o_custkey * 3 AS product_id, o_orderdate AS at FROM orders),
-    live AS (SELECT pos, max_by(price, observed_at * 1000000 + price) AS lowest_price FROM (SELECT pos, price, epoch(o.observed_at) AS observed_at FROM asked a JOIN v_offers o ON o.product_id = a.product_id AND o.observed_at <= a.at AND a.at < o.observed_at + INTERVAL 60 DAY) GROUP BY 1)
-    SELECT a.pos, a.product_id, CASE WHEN p.product_id IS NULL THEN 'missing' WHEN l.pos IS NULL THEN 'pending' ELSE 'complete' END AS status FROM asked a LEFT JOIN v_products p ON p.product_id = a.product_id LEFT JOIN live l ON l.pos = a.pos"""
+    """WITH asked AS (SELECT o_orderkey AS pos, o_custkey * 3 AS product_id, o_orderdate AS at, 1 + o_orderkey % 2 AS epoch, CASE WHEN o_orderkey % 5 = 0 THEN 'g2' ELSE 'g1' END AS generation FROM orders),
+    kept AS (SELECT product_id, 1 + offer_id % 2 AS epoch, CASE WHEN offer_id % 3 = 0 THEN 'g2' ELSE 'g1' END AS generation, observed_at, observed_at - INTERVAL 1 MINUTE AS fetched_at, CASE offer_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'unsupported' ELSE 'complete' END AS status,
+        CASE WHEN offer_id % 7 > 1 THEN price END AS lowest_price, CASE WHEN offer_id % 7 > 1 THEN offer_id % 8 ELSE 0 END AS offer_count FROM v_offers),
+    ranked AS (SELECT pos, k.* EXCLUDE (product_id, epoch, generation), row_number() OVER (PARTITION BY pos ORDER BY k.observed_at DESC, fetched_at DESC, status DESC, lowest_price DESC NULLS LAST, offer_count DESC) AS nth
+        FROM asked a JOIN kept k ON k.product_id = a.product_id AND k.epoch = a.epoch AND k.generation = a.generation AND k.observed_at <= a.at AND a.at < k.observed_at + INTERVAL 400 DAY)
+    SELECT a.pos, a.product_id, CASE WHEN p.product_id IS NULL THEN 'missing' ELSE coalesce(r.status, 'pending') END AS status, CASE WHEN p.product_id IS NOT NULL THEN lowest_price END AS lowest_price, CASE WHEN p.product_id IS NOT NULL THEN offer_count END AS offer_count,
+        CASE WHEN p.product_id IS NOT NULL THEN fetched_at END AS fetched_at FROM asked a LEFT JOIN v_products p ON p.product_id = a.product_id AND active = 1 LEFT JOIN ranked r ON r.pos = a.pos AND nth = 1"""
 )
 def lookup_summaries(c: Catalog) -> DataFrame:
-    asked = c.orders.select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") * 3).alias("product_id"), F.col("o_orderdate").alias("asked_at"))
-    s = c.offers.select("product_id", F.lit("complete").alias("status"), F.col("price").alias("lowest_price"), "observed_at", (F.col("observed_at") + F.expr("INTERVAL 60 DAYS")).alias("expires_at"))
-    return O.lookup(asked, c.products, s).select("pos", "product_id", "status")
+    pos, offer = F.col("o_orderkey"), F.col("offer_id")
+    asked = c.orders.select(pos.alias("pos"), (F.col("o_custkey") * 3).alias("product_id"), F.col("o_orderdate").cast("timestamp").alias("asked_at"), (1 + pos % 2).alias("epoch"), F.when(pos % 5 == 0, "g2").otherwise("g1").alias("generation"))
+    seen = F.col("observed_at").cast("timestamp")
+    status = F.when(offer % 7 == 0, "empty").when(offer % 7 == 1, "unsupported").otherwise("complete")
+    kept = c.offers.select(
+        "product_id", (1 + offer % 2).alias("epoch"), F.when(offer % 3 == 0, "g2").otherwise("g1").alias("generation"), seen.alias("observed_at"), (seen - F.expr("INTERVAL 1 MINUTE")).alias("fetched_at"),
+        (seen + F.expr("INTERVAL 400 DAYS")).alias("expires_at"), status.alias("status"), F.when(offer % 7 > 1, F.col("price")).alias("lowest_price"), F.when(offer % 7 > 1, offer % 8).otherwise(0).alias("offer_count"),
+    )
+    found = O.lookup(asked, c.products, kept)
+    return found.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))

@@ -131,8 +131,9 @@ def match_prefix(c: Catalog) -> DataFrame:
     one or two digits) is a whole token, so that q1 does not find q14."""
     p = _asked(c).select("query_id", "category", "term", F.regexp_like("term", F.lit("^([0-9]|[a-z]{1,5}[0-9]{1,2})$")).alias("whole")).distinct()
     post, vocabulary = _post(c), _post(c).select("category", "term").distinct()
-    held = vocabulary.select("category", F.col("term").alias("held"), F.substring("term", 1, 1).alias("head"))
-    by_prefix = held.join(p.filter("not whole").withColumn("head", F.substring("term", 1, 1)), ["category", "head"]).filter(F.col("held").startswith(F.col("term")))
+    open_ = p.filter("not whole").withColumnRenamed("term", "prefix")
+    begun = S.prefix_terms(vocabulary, open_.select("category", "prefix")).withColumnRenamed("term", "held")
+    by_prefix = begun.join(open_, ["category", "prefix"]).withColumnRenamed("prefix", "term")
     by_token = p.filter("whole").select("query_id", "category", "term", F.col("term").alias("held"))
     found = by_prefix.select("query_id", "category", "term", "held").unionByName(by_token)
     return found.join(post.select("category", F.col("term").alias("held"), "doc").distinct(), ["category", "held"]).select("query_id", "doc", F.col("term").alias("prefix")).distinct()

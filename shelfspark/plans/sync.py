@@ -143,11 +143,19 @@ def assign_ids(c: Catalog) -> DataFrame:
     return S.assign_ids(new, 5000)
 
 
-@query(f"WITH {_PLAN_SQL} SELECT 'ok' AS status, count(*) AS n FROM plan")
+@query(
+    f"""WITH {_PLAN_SQL}, k AS (SELECT upstream_key, CAST(substr(upstream_key, 2) AS BIGINT) AS n FROM plan) SELECT upstream_key, 'missing' AS status FROM k WHERE n % 40 = 3
+    UNION ALL SELECT upstream_key, 'differs' FROM k WHERE n % 41 = 5 AND n % 40 <> 3 UNION ALL SELECT 'X' || upstream_key, 'extra' FROM k WHERE n % 43 = 7 AND n % 40 <> 3"""
+)
 def verify_plan_state(c: Catalog) -> DataFrame:
+    """The store after the plan, with rows taken away, changed and added since: each is found."""
     planned = _plan(c)
-    stored = S.apply(c.snapshot_a, planned, c.snapshot_b, COLUMNS).withColumn("h", S.row_hash(COLUMNS))
-    return S.verify_state(planned, _incoming(c), stored, _stored(c))
+    n = F.substring("upstream_key", 2, 12).cast("long")
+    left = S.apply(c.snapshot_a, planned, c.snapshot_b, COLUMNS).filter(n % 40 != 3)
+    drifted = left.withColumn("price", F.when(n % 41 == 5, F.col("price") + 5).otherwise(F.col("price")))
+    extra = left.filter(n % 43 == 7).withColumn("upstream_key", F.concat(F.lit("X"), F.col("upstream_key")))
+    state = drifted.unionByName(extra).withColumn("h", S.row_hash(COLUMNS))
+    return S.verify_state(planned, _incoming(c), state, _stored(c))
 
 
 @query(
