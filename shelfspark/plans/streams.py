@@ -26,14 +26,15 @@ def stream_budget_excess(c: Catalog) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT product_id, max(observed_at) AS observed_at, max_by(price, epoch(observed_at) * 1000000 + offer_id) AS lowest_price FROM v_offers GROUP BY 1), w AS (SELECT max(observed_at) - INTERVAL 10 MINUTE AS mark FROM v_offers)
-    SELECT product_id, CASE WHEN observed_at + INTERVAL 60 DAY > mark THEN 'complete' ELSE 'pending' END AS status, CASE WHEN observed_at + INTERVAL 60 DAY > mark THEN lowest_price END AS lowest_price FROM n, w"""
+    """WITH n AS (SELECT product_id, 1 + offer_id % 2 AS epoch, observed_at, price, row_number() OVER (PARTITION BY product_id ORDER BY offer_id % 2 DESC, observed_at DESC, offer_id DESC) AS nth FROM v_offers), w AS (SELECT max(observed_at) - INTERVAL 10 MINUTE AS mark FROM v_offers)
+    SELECT product_id, epoch, CASE WHEN observed_at + INTERVAL 60 DAY > mark THEN 'complete' ELSE 'pending' END AS status, CASE WHEN observed_at + INTERVAL 60 DAY > mark THEN price END AS lowest_price FROM n, w WHERE nth = 1"""
 )
 def stream_offer_summary(c: Catalog) -> DataFrame:
     lines = J.table_stream(c.spark, c.sf_dir, "lineitem")
     price = F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("long")
     offers = lines.select(F.col("l_partkey").alias("product_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("offer_id"), price.alias("price"), F.col("l_shipdate").cast("timestamp").alias("observed_at"))
-    return J.latest_updates(J.offer_summary(offers), "product_id").select("product_id", "status", "lowest_price")
+    offers = offers.withColumn("epoch", 1 + F.col("offer_id") % 2)
+    return J.latest_updates(J.offer_summary(offers), "product_id").select("product_id", "epoch", "status", "lowest_price")
 
 
 @query("SELECT upstream_key, name, CASE WHEN p % 17 <> 0 AND p % 7 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN p % 17 <> 0 THEN 1 ELSE 0 END AS version FROM (SELECT *, CAST(substr(upstream_key, 2) AS BIGINT) AS p FROM v_snapshot_a)")

@@ -5,16 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.snapshot import shared_dir
 from .store import BucketStore
 
-SUMMARY = "product_id long, status string, lowest_price long, observed_at timestamp"
-STATE = "observed_ms long, offer_id long, price long"
+SUMMARY = "product_id long, epoch long, status string, lowest_price long, observed_at timestamp"
+STATE = "epoch long, observed_ms long, offer_id long, price long"
+# state with timers lives in RocksDB, on disk and in the checkpoint, not on the heap
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +28,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_available(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None]) -> None:
     """Process what is there now, batch by batch, with a checkpoint in the shared folder."""
-    at = f"{shared_dir(stream.sparkSession)}/stream/{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(each).start()
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)  # a query keeps the settings it started with
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(each).start()
+    finally:
+        spark.conf.set(STORE[0], before)
     q.awaitTermination()
 
 
@@ -43,31 +52,61 @@ def budget_excess(events: DataFrame, limit: int, width: str = "1 hour", late: st
     return w.select(F.col("w.start").alias("start"), "class", "n", F.greatest(F.lit(0), F.col("n") - limit).alias("excess"))
 
 
-def _summarize(ttl_ms: int):
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"product_id": [key[0]], "status": ["pending"], "lowest_price": pd.array([None], "Int64"), "observed_at": [pd.NaT]})
+class _NewestOffer(StatefulProcessor):
+    """Keeps a product's leading offer: the highest epoch, then the newest observation, then the highest
+    offer_id. An event-time timer ends it after the time to live."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", STATE)
+
+    def _row(self, key: tuple, status: str, best: tuple) -> pd.DataFrame:
+        epoch, observed, _, price = best
+        done = status == "complete"
+        return pd.DataFrame({"product_id": [key[0]], "epoch": [epoch], "status": [status], "lowest_price": pd.array([price if done else None], "Int64"), "observed_at": [pd.Timestamp(observed, unit="ms") if done else pd.NaT]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.best.get()) if self.best.exists() else None
+        leaders = [held] if held else []
+        for f in rows:
+            ms = f["observed_at"].astype("datetime64[ms]").astype("int64").to_numpy()
+            epoch, offer = f["epoch"].to_numpy(), f["offer_id"].to_numpy()
+            i = np.lexsort((offer, ms, epoch))[-1]
+            leaders.append((int(epoch[i]), int(ms[i]), int(offer[i]), int(f["price"].iloc[i])))
+        best = max(leaders)
+        if best == held:
             return
-        best = state.get if state.exists else (-1, -1, 0)
-        for f in frames:
-            ms = (f["observed_at"].astype("datetime64[ms]").astype("int64")).to_numpy()
-            i = max(range(len(f)), key=lambda k: (ms[k], f["offer_id"].iloc[k]))
-            best = max(best, (int(ms[i]), int(f["offer_id"].iloc[i]), int(f["price"].iloc[i])))
-        state.update(best)
-        expires = best[0] + ttl_ms
-        if expires > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires)
-        yield pd.DataFrame({"product_id": [key[0]], "status": ["complete"], "lowest_price": pd.array([best[2]], "Int64"), "observed_at": [pd.Timestamp(best[0], unit="ms")]})
+        if held:
+            self.handle.deleteTimer(held[1] + self.ttl_ms)
+        if best[1] + self.ttl_ms > timerValues.getCurrentWatermarkInMs():
+            self.best.update(best)
+            self.handle.registerTimer(best[1] + self.ttl_ms)
+            yield self._row(key, "complete", best)
+        else:  # over before it came
+            self.best.clear()
+            yield self._row(key, "pending", best)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = tuple(self.best.get())
+        self.best.clear()
+        yield self._row(key, "pending", held)
 
-    return update
+    def close(self) -> None:
+        pass
 
 
 def offer_summary(offers: DataFrame, ttl_days: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Per product the newest observation; older ones that come later change nothing; after the
-    time to live the summary is pending again (an event-time timer)."""
-    grouped = offers.withWatermark("observed_at", late).groupBy("product_id")
-    return grouped.applyInPandasWithState(_summarize(ttl_days * 86_400_000), SUMMARY, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """The summary of every product of a stream (product_id, epoch, offer_id, price, observed_at), run in
+    update mode by ``latest_updates``. The newest observation stands and older ones that come later change
+    nothing; an offer of a higher epoch ends what an earlier one left, whatever its time, and offers of
+    an earlier epoch then change nothing; after the time to live the summary is pending again and its
+    state is freed. Rows without product, epoch, offer, price or time say nothing."""
+    needed = ["product_id", "epoch", "offer_id", "price", "observed_at"]
+    rows = offers.select(*needed).withWatermark("observed_at", late).dropna(subset=needed)
+    return rows.groupBy("product_id").transformWithStateInPandas(_NewestOffer(ttl_days * 86_400_000), SUMMARY, "Update", "EventTime")
 
 
 def latest_updates(stream: DataFrame, *keys: str) -> DataFrame:

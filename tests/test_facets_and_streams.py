@@ -93,3 +93,44 @@ def test_windows_leave_the_state_and_late_rows_are_dropped(spark, tmp_path):
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"])
     assert len(seen) == 40 and set(seen.values()) == {2} and max(sizes) <= 4 and dropped >= 1
+
+
+def _offer_stream(spark, at, files, start=None):
+    """Each list of (product, epoch, offer, price, days, minutes) is one file, so one batch."""
+    base = dt.datetime(2024, 1, 1)
+    schema = "product_id long, epoch long, offer_id long, price long, observed_at timestamp"
+    for rows in files:
+        rows = [(p, e, o, price, base + dt.timedelta(days=d, minutes=m)) for p, e, o, price, d, m in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(at)
+
+
+def test_offers_late_equal_expired_and_of_a_new_epoch(spark, tmp_path):
+    files = [
+        [(1, 1, 10, 100, 0, 0), (2, 1, 11, 200, 0, 0), (3, 1, 12, 300, 0, 0), (4, 5, 13, 400, 0, 0), (6, 1, 14, 600, 0, 0)],
+        [(1, 1, 9, 90, 0, 0), (2, 1, 20, 190, 0, 0), (3, 2, 21, 310, 0, -5), (4, 4, 22, 410, 0, 9), (5, 1, 23, 500, 0, 9)],  # equal times: the higher offer; epochs before times
+        [(1, 1, 30, 130, 1, 0), (1, 1, 31, 70, 0, 9), (None, 1, 32, 1, 1, 0), (7, None, 33, 1, 1, 0)],  # out of order within a batch; rows that lack something
+        [(1, 1, 40, 999, 0, 8), (5, 1, 41, 510, 5, 0)],  # later than the watermark: dropped
+        [(6, 1, 50, 610, 6, 0)],
+        [(1, 1, 60, 160, 70, 0)],  # all others run out
+    ]
+    stream = jobs.offer_summary(_offer_stream(spark, str(tmp_path / "in"), files), ttl_days=60)
+    before = spark.conf.get(jobs.STORE[0])
+    got = {r["product_id"]: (r["epoch"], r["status"], r["lowest_price"]) for r in jobs.latest_updates(stream, "product_id").collect()}
+    assert got == {1: (1, "complete", 160), 2: (1, "pending", None), 3: (2, "pending", None), 4: (5, "pending", None), 5: (1, "pending", None), 6: (1, "pending", None)}
+    assert spark.conf.get(jobs.STORE[0]) == before
+    stream = jobs.offer_summary(_offer_stream(spark, str(tmp_path / "short"), files[:5]), ttl_days=60)
+    got = {r["product_id"]: (r["epoch"], r["status"], r["lowest_price"], r["observed_at"].day) for r in jobs.latest_updates(stream, "product_id").collect()}
+    assert got == {1: (1, "complete", 130, 2), 2: (1, "complete", 190, 1), 3: (2, "complete", 310, 31), 4: (5, "complete", 400, 1), 5: (1, "complete", 510, 6), 6: (1, "complete", 610, 7)}
+
+
+def test_offers_by_random_batches_equal_the_newest_of_all(spark, tmp_path):
+    rng = random.Random(8)
+    files = [[(rng.randrange(12), rng.randrange(3), 100 * n + i, rng.randrange(1, 999), 0, rng.randrange(9)) for i in range(15)] for n in range(4)]
+    best = {}
+    for p, e, o, price, _, m in (r for f in files for r in f):
+        best[p] = max(best.get(p, (-1, -1, -1, 0)), (e, m, o, price))
+    got = {r["product_id"]: (r["epoch"], r["lowest_price"]) for r in jobs.latest_updates(jobs.offer_summary(_offer_stream(spark, str(tmp_path / "in"), files)), "product_id").collect()}
+    assert got == {p: (b[0], b[3]) for p, b in best.items()}
+    (tmp_path / "none").mkdir()
+    assert jobs.latest_updates(jobs.offer_summary(_offer_stream(spark, str(tmp_path / "none"), [])), "product_id").count() == 0
