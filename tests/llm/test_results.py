@@ -601,3 +601,16 @@ def test_cutoff(spark, spread):
     for k in (1, 2, 750, 2999, 3000):
         s, i, u = order[k - 1]
         assert tuple(importance_resampling.cutoff(df, k, spread, accuracy=50)) == (-s, i is None, i or 0, u)
+
+
+@pytest.mark.parametrize("dimensions, rank", [(64, 64), (256, 24)])
+def test_embedding_plan_holds_for_vectors_it_has_not_seen(dimensions, rank):
+    """Tables planned for 1e8 vectors find pairs at the threshold that no sampled row is part of."""
+    rng = np.random.default_rng(4)
+    axes = rng.standard_normal((rank, dimensions)) if rank < dimensions else np.eye(dimensions)
+    draw = lambda n: rng.standard_normal((n, rank)) @ axes + 0.01 * rng.standard_normal((n, dimensions))
+    tables, mean, projections = embedding_dedup.plan(10**8, draw(8192), 0.9, 0.98)
+    for left, right in embedding_dedup.pairs_at(draw(4096), 0.9, seed=31):
+        a, b = (embedding_dedup.codes_of(side, mean, projections) for side in (left, right))
+        far = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        assert (tables.met(a, b, range(tables.number)) & (far <= tables.near)).mean() >= 0.975  # 0.98, less a sample's error
