@@ -60,7 +60,7 @@ VIEWS = {
         FROM (SELECT p_partkey AS product_id, CASE p_type WHEN 'ECONOMY' THEN 'gpu' WHEN 'SMALL' THEN 'case_fan' WHEN 'MEDIUM' THEN 'cpu' WHEN 'LARGE' THEN 'memory' WHEN 'PROMO' THEN 'motherboard' ELSE 'storage' END AS category,
             CASE WHEN p_partkey % 20 <> 0 THEN 1 ELSE 0 END AS active, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 2010 + p_size % 25 END AS release_year, p_name AS word, p_size AS size, concat(upper(p_brand), '-', p_size) AS part_number FROM {part})""",
     "v_searches": """SELECT query_id, k, a, b, z, CASE k WHEN 11 THEN 'memory' WHEN 12 THEN 'cpu' WHEN 13 THEN 'motherboard' WHEN 14 THEN 'case_fan' ELSE other END AS category,
-        CASE k WHEN 0 THEN concat(a, ' ', b) WHEN 1 THEN concat(b, ' ', a) WHEN 2 THEN concat('rtx', 1000 + z) WHEN 3 THEN concat(a, ' RTX ', 1000 + z) WHEN 4 THEN concat(substr(b, 1, 3), ' ', substr(a, 1, 2)) WHEN 5 THEN 'prime black'
+        CASE k WHEN 0 THEN concat(a, ' ', b) WHEN 1 THEN concat(b, ' ', a) WHEN 2 THEN concat('rtx', 1000 + z) WHEN 3 THEN concat(a, ' RTX ', 1000 + z) WHEN 4 THEN concat(substr(b, 1, 3), ' ', substr(a, 1, 2)) WHEN 5 THEN CASE z % 4 WHEN 0 THEN 'ｐｒｉｍｅ　ｂｌａｃｋ' WHEN 1 THEN concat('prime black', repeat(' x', 12)) WHEN 2 THEN concat('prime black ', repeat('y', 200)) ELSE 'prime black' END
         WHEN 6 THEN concat('black ', b, ' acme') WHEN 7 THEN concat(a, ' ', b, ' RTX ', 1000 + z) WHEN 8 THEN concat('Brand#', 1 + z % 25, '-', 1 + z) WHEN 9 THEN concat('4', lpad(CAST(query_id AS VARCHAR(20)), 12, '0')) WHEN 10 THEN concat(a, ' x ', b, ' rtx', 1000 + z)
         WHEN 11 THEN concat(8 + z % 8, 'GB DDR', 3 + z % 3) WHEN 12 THEN CASE WHEN z % 2 = 0 THEN 'AMD Ryzen 7' ELSE 'core i5' END WHEN 13 THEN concat(a, ' B', 600 + z) ELSE concat(60 + z, 'mm ', b, ' fan') END AS query
         FROM (SELECT c_custkey AS query_id, c_custkey % 15 AS k, c_custkey % 49 AS z, CASE c_custkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'small' WHEN 2 THEN 'blue' ELSE 'hot' END AS a, CASE c_custkey % 7 WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' WHEN 2 THEN 'bolt' WHEN 3 THEN 'gear' WHEN 4 THEN 'ring' WHEN 5 THEN 'gear' ELSE 'bolt' END AS b,

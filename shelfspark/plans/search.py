@@ -69,10 +69,11 @@ def _queries(c: Catalog) -> DataFrame:
     return c.supplier.select(s.alias("query_id"), category.alias("category"), text.alias("query"))
 
 
-@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, {_T.format('text')} AS t FROM v_docs)")
+@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_terms, sha256(array_to_string(t, ' ')) AS terms_sha256, CASE WHEN length(text) > 200 THEN 'too-long' WHEN len(t) NOT BETWEEN 1 AND 12 THEN 'token-count' END AS code FROM (SELECT doc_id, text, {_T.format('text')} AS t FROM v_docs)")
 def tokenize(c: Catalog) -> DataFrame:
-    t = c.docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct_terms"), F.sha2(F.array_join("t", " ").cast("binary"), 256).alias("terms_sha256"))
+    """Every text's tokens, and why it could not be asked as a keyword."""
+    t = S.keywords(c.docs, "text").select("doc_id", "code", tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", "code", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct_terms"), F.sha2(F.array_join("t", " ").cast("binary"), 256).alias("terms_sha256"))
 
 
 @query(f"WITH {_POST} SELECT category, term, field, count(*) AS n, count(DISTINCT doc) AS docs, CAST(sum(pos) AS BIGINT) AS places FROM post GROUP BY 1, 2, 3")

@@ -131,3 +131,19 @@ def test_intents_keep_what_rules_do_not_take(spark):
     assert got[2] == ("model 6000", []) and got[3] == ("wd sn850", [("capacity_gb", "2000")])
     assert got[4] == ("9000w", [("form_factor", "ATX")]) and got[5] == ("120mm 8gb", [])
     assert got[6][1] == [] and got[7] == ("", [])
+
+
+def test_keywords_limits_and_forms(spark):
+    from shelfspark.operators import search as S
+
+    face = "\U0001f600"
+    rows = [(1, None), (2, ""), (3, " -- "), (4, "ＲＴＸ　５０８０"), (5, "ﬁne" + " a" * 11), (6, "a " * 13), (7, "a" * 200), (8, "a" * 201), (9, "a" + face * 99), (10, "a" + face * 100), (11, "x" * 5000), (12, "ｘ" * 200)]
+    df = spark.createDataFrame(rows, "query_id long, query string")
+    got = {r["query_id"]: (r["keyword"], r["code"]) for r in S.keywords(df).collect()}
+    codes = {k: v[1] for k, v in got.items()}
+    assert codes == {1: None, 2: "token-count", 3: "token-count", 4: None, 5: None, 6: "token-count", 7: None, 8: "too-long", 9: None, 10: "too-long", 11: "too-long", 12: None}
+    assert got[4][0] == "RTX 5080" and got[5][0].startswith("fine a") and got[12][0] == "x" * 200
+    assert {k for k, v in got.items() if v[0] is None} == {1, 2, 3, 6, 8, 10, 11}
+    admitted = S.admit(df)
+    assert admitted.columns == ["query_id", "query"] and {r["query_id"] for r in admitted.collect()} == {4, 5, 7, 9, 12}
+    assert S.admit(df.limit(0)).count() == 0
