@@ -69,7 +69,8 @@ class _NewestOffer(StatefulProcessor):
         return pd.DataFrame({"product_id": [key[0]], "epoch": [epoch], "status": [status], "lowest_price": pd.array([price if done else None], "Int64"), "observed_at": [pd.Timestamp(observed, unit="ms") if done else pd.NaT]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = tuple(self.best.get()) if self.best.exists() else None
+        held = self.best.get()  # a call for each word with the state: as few as may be
+        held = tuple(held) if held else None
         leaders = [held] if held else []
         for f in rows:
             ms = f["observed_at"].astype("datetime64[ms]").astype("int64").to_numpy()
