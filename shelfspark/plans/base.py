@@ -54,16 +54,17 @@ VIEWS = {
         split_part(p_name, ' ', 1) AS word, p_size % 10 AS digit, p_partkey % 3 AS kind FROM {part}""",
     "v_search": """SELECT product_id, category, active, release_year, concat(word, CASE product_id % 4 WHEN 0 THEN concat(' rtx', 1000 + size) WHEN 1 THEN concat(' RTX ', 1000 + size) ELSE '' END) AS name,
         CASE size % 5 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Borea' WHEN 2 THEN 'Cyan' WHEN 3 THEN 'Delta' ELSE 'Blue' END AS manufacturer, CASE product_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'prime edge' WHEN 2 THEN 'prime' ELSE 'core' END AS series,
-        CASE WHEN category = 'storage' THEN CASE size % 4 WHEN 0 THEN 'SATA' WHEN 1 THEN 'mSATA' WHEN 2 THEN 'SATA mSATA' ELSE '' END WHEN product_id % 3 = 0 THEN 'black' WHEN product_id % 3 = 1 THEN 'white oc' ELSE '' END AS variant, CASE WHEN category = 'cpu' THEN CASE size % 4 WHEN 0 THEN 'Ryzen 7' WHEN 1 THEN 'Core i5' END END AS family, concat('K', product_id, ' ', part_number) AS text,
+        CASE WHEN category = 'storage' THEN CASE size % 4 WHEN 0 THEN 'SATA' WHEN 1 THEN 'mSATA' WHEN 2 THEN 'SATA mSATA' ELSE '' END WHEN product_id % 3 = 0 THEN 'black' WHEN product_id % 3 = 1 THEN 'white oc' ELSE CASE size % 8 WHEN 0 THEN 'mx 4' WHEN 1 THEN 'MX4' WHEN 2 THEN 'mx4 4' WHEN 3 THEN 'mx fan 4' WHEN 4 THEN 'Type-C' WHEN 5 THEN 'c type' WHEN 6 THEN 'type c2 c' ELSE '' END END AS variant, CASE WHEN category = 'cpu' THEN CASE size % 4 WHEN 0 THEN 'Ryzen 7' WHEN 1 THEN 'Core i5' END END AS family, concat('K', product_id, ' ', part_number, CASE product_id % 7 WHEN 0 THEN ' mx4' WHEN 1 THEN concat(' ', 8 + size % 8, 'gb ddr', 3 + size % 3) ELSE '' END) AS text,
         CASE WHEN category = 'motherboard' THEN concat(CASE WHEN product_id % 2 = 0 THEN 'AMD B' ELSE 'B' END, 600 + size) END AS chipset,
         CASE WHEN product_id % 11 > 0 THEN CASE category WHEN 'memory' THEN concat('capacity_gb=', 8 + size % 8) WHEN 'case_fan' THEN concat('size_mm=', 60 + size) END END AS spec1, CASE WHEN category = 'memory' THEN concat('ram_type=DDR', 3 + size % 3) END AS spec2
         FROM (SELECT p_partkey AS product_id, CASE p_type WHEN 'ECONOMY' THEN 'gpu' WHEN 'SMALL' THEN 'case_fan' WHEN 'MEDIUM' THEN 'cpu' WHEN 'LARGE' THEN 'memory' WHEN 'PROMO' THEN 'motherboard' ELSE 'storage' END AS category,
             CASE WHEN p_partkey % 20 <> 0 THEN 1 ELSE 0 END AS active, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 2010 + p_size % 25 END AS release_year, p_name AS word, p_size AS size, concat(upper(p_brand), '-', p_size) AS part_number FROM {part})""",
-    "v_searches": """SELECT query_id, k, a, b, z, CASE k WHEN 11 THEN 'memory' WHEN 12 THEN 'cpu' WHEN 13 THEN 'motherboard' WHEN 14 THEN 'case_fan' ELSE other END AS category,
+    "v_searches": """SELECT query_id, k, a, b, z, CASE k WHEN 11 THEN 'memory' WHEN 17 THEN 'memory' WHEN 12 THEN 'cpu' WHEN 13 THEN 'motherboard' WHEN 14 THEN 'case_fan' ELSE other END AS category,
         CASE k WHEN 0 THEN concat(a, ' ', b) WHEN 1 THEN concat(b, ' ', a) WHEN 2 THEN concat('rtx', 1000 + z) WHEN 3 THEN concat(a, ' RTX ', 1000 + z) WHEN 4 THEN concat(substr(b, 1, 3), ' ', substr(a, 1, 2)) WHEN 5 THEN CASE z % 4 WHEN 0 THEN 'ｐｒｉｍｅ　ｂｌａｃｋ' WHEN 1 THEN concat('prime black', repeat(' x', 12)) WHEN 2 THEN concat('prime black ', repeat('y', 200)) ELSE 'prime black' END
         WHEN 6 THEN concat(CASE WHEN other = 'storage' THEN 'sata ' ELSE 'black ' END, CASE WHEN other = 'storage' AND z % 2 = 0 THEN '' ELSE concat(b, ' ') END, 'acme') WHEN 7 THEN concat(a, ' ', b, ' RTX ', 1000 + z) WHEN 8 THEN concat('Brand#', 1 + z % 25, '-', 1 + z) WHEN 9 THEN concat('4', lpad(CAST(query_id AS VARCHAR(20)), 12, '0')) WHEN 10 THEN concat(a, ' x ', b, ' rtx', 1000 + z)
-        WHEN 11 THEN concat(8 + z % 8, 'GB DDR', 3 + z % 3) WHEN 12 THEN CASE WHEN z % 2 = 0 THEN 'AMD Ryzen 7' ELSE 'core i5' END WHEN 13 THEN concat(a, ' B', 600 + z) ELSE concat(60 + z, 'mm ', b, ' fan') END AS query
-        FROM (SELECT c_custkey AS query_id, c_custkey % 15 AS k, c_custkey % 49 AS z, CASE c_custkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'small' WHEN 2 THEN 'blue' ELSE 'hot' END AS a, CASE c_custkey % 7 WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' WHEN 2 THEN 'bolt' WHEN 3 THEN 'gear' WHEN 4 THEN 'ring' WHEN 5 THEN 'gear' ELSE 'bolt' END AS b,
+        WHEN 11 THEN concat(8 + z % 8, 'GB DDR', 3 + z % 3) WHEN 12 THEN CASE WHEN z % 2 = 0 THEN 'AMD Ryzen 7' ELSE 'core i5' END WHEN 13 THEN concat(a, ' B', 600 + z) WHEN 14 THEN concat(60 + z, 'mm ', b, ' fan')
+        WHEN 15 THEN CASE WHEN z % 2 = 0 THEN 'MX-4' ELSE concat('mx-4 ', b) END WHEN 16 THEN CASE WHEN z % 2 = 0 THEN 'Type C' ELSE concat('mx4 ', b) END WHEN 17 THEN concat(a, ' ', 8 + z % 8, 'GB DDR', 3 + z % 3) ELSE concat('L-', 6 * z) END AS query
+        FROM (SELECT c_custkey AS query_id, c_custkey % 19 AS k, c_custkey % 49 AS z, CASE c_custkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'small' WHEN 2 THEN 'blue' ELSE 'hot' END AS a, CASE c_custkey % 7 WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' WHEN 2 THEN 'bolt' WHEN 3 THEN 'gear' WHEN 4 THEN 'ring' WHEN 5 THEN 'gear' ELSE 'bolt' END AS b,
             CASE c_custkey % 11 WHEN 0 THEN 'gpu' WHEN 1 THEN 'case_fan' WHEN 2 THEN 'cpu' WHEN 3 THEN 'memory' WHEN 4 THEN 'motherboard' WHEN 5 THEN 'storage' WHEN 6 THEN 'gpu' WHEN 7 THEN 'cpu' ELSE 'case_fan' END AS other FROM {customer})""",
     "v_raw": raw_cases.raw_view(),
     "v_broken": raw_cases.broken_view(),
