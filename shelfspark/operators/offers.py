@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import gtin_check
+from .order import running_max, stored
 from .ranges import in_ranges
 
-from ..functions.columns import gtin_check
+FOREVER = 2**63 - 1  # the end of a summary without one
 
 
 def lookup_candidates(identifiers: DataFrame, most: int = 3) -> DataFrame:
@@ -67,14 +69,31 @@ def lookup(asked: DataFrame, products: DataFrame, summaries: DataFrame) -> DataF
     """(pos, product_id, status, lowest_price, offer_count, fetched_at) for ``asked`` (pos, product_id, asked_at, epoch,
     generation). A summary counts while observed_at <= asked_at < expires_at within its epoch and
     generation, the newest first: complete, empty or unsupported; otherwise the product is pending, and missing where it is not
-    active. Times meet validity intervals by equality of cells within (product, epoch, generation), so that
-    a product with many summaries is not compared row by row."""
+    active. Summaries and times stand in one order within (product, epoch, generation): the newest summary up to a time answers
+    it unless it has ended. Only times that an older summary with a later end still covers meet validity
+    intervals, by equality of cells, so that a product with many summaries is not compared row by row."""
     same = ["product_id", "epoch", "generation"]
-    at = lambda c: F.unix_micros(c) / 1e6
-    times = asked.select("pos", *same, at(F.col("asked_at")).alias("number"))
-    until = (F.unix_micros("expires_at") - 1) / 1e6  # the end itself is outside
-    valid = summaries.select(*same, at(F.col("observed_at")).alias("low"), until.alias("high"), F.struct("observed_at", "fetched_at", "status", "lowest_price", "offer_count").alias("s"))
-    found = in_ranges(times, valid, same).groupBy("pos").agg(F.max("s").alias("s"))
+    keyed = " and ".join(f"{x} is not null" for x in same)
+    s = F.struct("observed_at", "fetched_at", "status", "lowest_price", "offer_count")
+    until = F.coalesce(F.unix_micros("expires_at"), F.lit(FOREVER))  # the end itself is outside
+    valid = summaries.filter(keyed).select(*same, F.unix_micros("observed_at").alias("at"), until.alias("until"), s.alias("s"))
+    times = asked.filter(f"{keyed} and asked_at is not null").select("pos", *same, F.unix_micros("asked_at").alias("at"))
+    none = lambda c: F.lit(None).cast(valid.schema[c].dataType).alias(c)
+    rows = valid.select(F.lit(None).cast(times.schema["pos"].dataType).alias("pos"), *same, "at", F.lit(0).alias("kind"), "until", "s")
+    rows = rows.unionByName(times.select("pos", *same, "at", F.lit(1).alias("kind"), none("until"), none("s")))
+    newest_ = F.when(F.col("kind") == 0, F.struct("s", "until"))
+    order = [F.col("at"), F.col("kind"), F.coalesce("pos", F.xxhash64("s"))]
+    placed = running_max(rows, same, order, {"newest": newest_, "last_end": F.col("until")}).filter("kind = 1")
+    live = placed.withColumn("open", F.col("newest.until") > F.col("at"))
+    direct = live.filter("open").select("pos", F.col("newest.s").alias("s"))
+    late = stored(live.filter("not open and last_end > at").select("pos", *same, "at"))
+    found = direct
+    if not late.isEmpty():
+        covered = valid.join(late.select(*same).distinct(), same, "left_semi")
+        number = lambda c: F.col(c) / 1e6
+        spans = covered.select(*same, number("at").alias("low"), F.when(F.col("until") < FOREVER, (F.col("until") - 1) / 1e6).alias("high"), "s")
+        found = direct.unionByName(in_ranges(late.select("pos", *same, number("at").alias("number")), spans, same).select("pos", "s"))
+    found = found.groupBy("pos").agg(F.max("s").alias("s"))
     known = asked.select("pos", "product_id").join(products.filter("active = 1").select("product_id", F.lit(True).alias("known")), "product_id", "left").join(found, "pos", "left")
     status = F.when(F.col("known").isNull(), "missing").otherwise(F.coalesce("s.status", F.lit("pending")))
     return known.select("pos", "product_id", status.alias("status"), *[F.when(F.col("known"), F.col(f"s.{x}")).alias(x) for x in ("lowest_price", "offer_count", "fetched_at")])

@@ -50,3 +50,20 @@ def test_lookup_as_of_a_time(spark):
     none = (None, None)
     assert got == {1: ("complete", 10, 2), 2: ("empty", None, 0), 3: ("complete", 10, 2), 4: ("pending", *none), 5: ("complete", 99, 9), 6: ("pending", *none), 7: ("pending", *none), 8: ("unsupported", None, 0), 9: ("missing", *none), 10: ("pending", *none), 11: ("missing", *none), 12: ("pending", *none), 13: ("complete", 10, 2)}
     assert offers.lookup(rows, products, summaries.filter(F.lit(False))).filter("status = 'complete'").count() == 0
+
+
+def test_lookup_meets_cells_only_where_an_older_summary_outlasts_a_newer_one(spark):
+    rng = random.Random(3)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    kept = [(rng.randrange(4), i, rng.randrange(3000), rng.choice([5, 400, 2500])) for i in range(300)]  # product, price, observed, lifetime
+    asked = [(i, rng.randrange(5), rng.randrange(6000)) for i in range(300)]
+    row = lambda p, i, s, life: (p, 1, "g", "complete", i, 1, at(s), at(s), at(s + life))
+    schema = "product_id long, epoch int, generation string, status string, lowest_price long, offer_count long, fetched_at timestamp, observed_at timestamp, expires_at timestamp"
+    products = spark.createDataFrame([(p, 1) for p in range(5)], "product_id long, active int")
+    rows = spark.createDataFrame([(i, p, at(s), 1, "g") for i, p, s in asked], "pos long, product_id long, asked_at timestamp, epoch int, generation string")
+    for lives in (lambda life: life, lambda life: 700):
+        found = offers.lookup(rows, products, spark.createDataFrame([row(p, i, s, lives(life)) for p, i, s, life in kept], schema))
+        want = {i: max(((o, price) for q, price, o, life in kept if q == p and o <= s < o + lives(life)), default=(None, None))[1] for i, p, s in asked}
+        assert {r["pos"]: r["lowest_price"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # one lifetime for all: no summary is cut into cells
