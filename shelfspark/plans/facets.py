@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import facet_bits
 from ..operators import filters as P
+from ..operators.equal import leaders, spread
 from .base import Catalog, query
 
 
@@ -91,7 +92,8 @@ _REQUESTS_SQL = """r AS (SELECT s_suppkey AS request_id, ['economy', 'small', 'm
     WHERE size_mm BETWEEN low AND high AND (brand IS NULL OR manufacturer = brand) AND (word IS NULL OR EXISTS (SELECT 1 FROM v_facets f WHERE f.product_id = p.product_id AND attribute = 'word' AND value = word))"""
 )
 def filter_requests(c: Catalog) -> DataFrame:
-    return P.request_hits(_values(c), _requests(c))
+    first, members = leaders(_requests(c), ["category", "conditions"], "request_id")
+    return spread(P.request_hits(_values(c), first), members, "request_id")
 
 
 @query(
@@ -164,13 +166,15 @@ _FACETS_SQL = f"""WITH {_REQUESTS_SQL}, met AS (SELECT request_id, p.product_id,
 @query(_FACETS_SQL + "in_size AND in_brand AND in_word GROUP BY request_id, field, value")
 def facet_counts(c: Catalog) -> DataFrame:
     """Products per field and value under all conditions of each request."""
-    return facet_bits.counts(_values(c), _requests(c), own=True)
+    first, members = leaders(_requests(c), ["category", "conditions"], "request_id")
+    return spread(facet_bits.counts(_values(c), first, own=True), members, "request_id")
 
 
 @query(_FACETS_SQL + "(in_size OR field = 'size_mm') AND (in_brand OR field = 'manufacturer') AND (in_word OR field = 'word') GROUP BY request_id, field, value")
 def facet_self_exclude(c: Catalog) -> DataFrame:
     """Each field of each request counted without the field's own conditions."""
-    return facet_bits.counts(_values(c), _requests(c))
+    first, members = leaders(_requests(c), ["category", "conditions"], "request_id")
+    return spread(facet_bits.counts(_values(c), first), members, "request_id")
 
 
 @query(
