@@ -17,7 +17,7 @@ from .base import Catalog, query
 
 def _documents(c: Catalog) -> DataFrame:
     """One raw document for each product, over all categories, parsed."""
-    return c.raw.select("product_id", "category", F.try_parse_json("raw").alias("doc"))
+    return c.spread("raw").select("product_id", "category", F.try_parse_json("raw").alias("doc"))
 
 
 @query("SELECT p_partkey, nullif(trim(regexp_replace('  ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '   x ' ELSE '' END, '\\s+', ' ', 'g')), '') AS name FROM part")
@@ -196,7 +196,7 @@ def name_keys(c: Catalog) -> DataFrame:
 def quarantine_records(c: Catalog) -> DataFrame:
     """The contract's product-level rules over whole documents: too deep, too many nodes, too long, not
     JSON, no identity, no name, no known category."""
-    return records.rejected(c.broken.select("product_id", "category", "raw")).select("product_id", "code")
+    return records.rejected(c.spread("broken").select("product_id", "category", "raw")).select("product_id", "code")
 
 
 @query(raw_cases.expected_issues())
