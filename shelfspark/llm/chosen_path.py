@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_rows, components, groups_of, in_blocks, materialize, mix, row_keys, shingles, slices, together, union_find
+from .common import binary_rows, components, flagged, groups_of, in_blocks, materialize, mix, row_keys, shingles, slices, together, union_find
 
 LEAF = ["leaf", "block_a", "block_b"]
+ROW = ["doc_id", "k1", "k2"]
 SKETCH = 32
 ALIKE = 4
 FAN = 2.0
@@ -111,9 +112,11 @@ def set_key(s: np.ndarray) -> bytes:
 
 def with_sets(docs: DataFrame, of: DataFrame, text: str) -> DataFrame:
     """``of`` (sid, doc_id, k1, k2, and more) with ``tokens``, the whole set of the text that
-    (doc_id, k1, k2) names; a row for each repetition of that text under its id."""
-    more = [c for c in of.columns if c not in ("doc_id", "k1", "k2")]
-    joined = docs.select("doc_id", *row_keys(text), F.col(text).alias("__text")).join(of, ["doc_id", "k1", "k2"]).select(*more, "__text")
+    (doc_id, k1, k2) names; a row for each repetition of that text under its id. Only texts that
+    ``of`` may name are shuffled."""
+    more = [c for c in of.columns if c not in ROW]
+    rows = flagged(docs.select("doc_id", *row_keys(text), F.col(text).alias("__text")), of, ROW, "__named")
+    joined = rows.filter("__named").join(of, ROW).select(*more, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +227,11 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
                 yield pa.RecordBatch.from_arrays([g.column(c).combine_chunks().take(pa.array(hit)) for c in (*LEAF, "block", "sid")], names=[*LEAF, "block", "sid"])
 
     found = materialize(together(rows.select(*LEAF, "block", "sid", "n", "low", "known"), LEAF).mapInArrow(sketch, "leaf long, block_a int, block_b int, block int, sid long"))
-    wanted = found.select("sid").distinct().join(light.select("sid", "n", "known"), "sid").join(sets.select("sid", "weight", "doc_id", "k1", "k2"), "sid")
+    # a set's places go with it to its text, so that whole sets are shuffled once, to their leaves
+    wanted = found.groupBy("sid").agg(F.collect_list(F.struct(*LEAF, "block")).alias("places"))
+    wanted = materialize(wanted.join(light.select("sid", "n", "known"), "sid").join(sets.select("sid", "weight", *ROW), "sid"))
     whole = materialize(with_sets(docs, wanted, text))
+    whole = whole.select(F.explode("places").alias("place"), "sid", "n", "known", "weight", "tokens").select("place.*", "sid", "n", "known", "weight", "tokens")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, LEAF):
@@ -252,7 +258,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, leaf_rows: int, de
             hit = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[root[hit]]), pa.array(count[hit].astype(np.int64))], names=["id", "root", "n"])
 
-    judged = materialize(together(found.join(whole, "sid"), LEAF).mapInArrow(exact, "id long, root long, n long"))
+    judged = materialize(together(whole, LEAF).mapInArrow(exact, "id long, root long, n long"))
     return judged.groupBy("id").agg(F.sum("n").alias("n")), judged.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
@@ -291,12 +297,14 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     apart by id and text, so unlike texts under one id each stand for themselves; rows that repeat
     both count as one. Rows that link with nothing (no words, no id) all stay."""
     described, per = classes(docs, threshold, recall, leaf_rows, depth, text)
-    usable = described.filter("n > 0 and doc_id is not null").select("doc_id", "k1", "k2", "set_key")
-    own = F.struct("doc_id", "k1", "k2")
-    gone = materialize(usable.join(per.select("set_key", "kept"), "set_key").filter(own != F.col("kept")).select("doc_id", "k1", "k2").distinct())
-    again = materialize(usable.groupBy("doc_id", "k1", "k2").count().filter("count > 1").select("doc_id", "k1", "k2"))
-    key = ["doc_id", "k1", "k2"]
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", *row_keys(text)).join(gone, key, "left_anti")
-    once = rows.join(again, key, "left_anti").select("__row.*")
-    repeated = rows.join(again, key, "left_semi").groupBy(*key).agg(F.first("__row").alias("__row")).select("__row.*")
-    return once.unionByName(repeated)
+    usable = described.filter("n > 0 and doc_id is not null").select(*ROW, "set_key")
+    own = F.struct(*ROW)
+    gone = materialize(usable.join(per.select("set_key", "kept"), "set_key").filter(own != F.col("kept")).select(*ROW).distinct())
+    again = materialize(usable.groupBy(*ROW).count().filter("count > 1").select(*ROW))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", *row_keys(text))
+    # most rows are in neither table and pass as they are; the others meet the tables by shuffle
+    asked = flagged(rows, gone.unionByName(again), ROW, "__asked")
+    free = asked.filter("not __asked").select("__row.*")
+    once = asked.filter("__asked").join(gone, ROW, "left_anti").join(again, ROW, "left_anti").select("__row.*")
+    repeated = flagged(rows, again, ROW, "__asked").filter("__asked").join(again, ROW, "left_semi").join(gone, ROW, "left_anti")
+    return free.unionByName(once).unionByName(repeated.groupBy(*ROW).agg(F.first("__row").alias("__row")).select("__row.*"))

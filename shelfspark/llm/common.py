@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SLICE_BYTES = 1 << 20
+MAP_BITS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +75,20 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: list[str], members: str,
     return met.drop(*[f"__{c}" for c in key])
 
 
+def flagged(rows: DataFrame, keys: DataFrame, on: list[str], name: str, bits: int = 16, most: int = 1 << 28) -> DataFrame:
+    """``rows`` with ``name``: false where the key ``on`` is none of ``keys`` for certain, true where
+    it may be one. The keys' hashes set ``bits`` bits each, at most ``most`` (32 MB) in all, in bitmaps
+    that are broadcast, so that a join of the true rows alone decides exactly, and texts whose key is
+    not asked for are never shuffled. ``keys`` is read twice."""
+    maps = min(keys.count() * bits, most) // MAP_BITS + 1
+    slot = F.pmod(F.xxhash64(F.lit(97), *on), F.lit(maps * MAP_BITS))
+    place = F.floor(slot / MAP_BITS).alias("__map"), F.pmod(slot, F.lit(MAP_BITS)).alias("__bit")
+    held = keys.select(*place).repartition("__map").groupBy("__map").agg(F.substring(F.bitmap_construct_agg("__bit"), 1, MAP_BITS // 8).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False))
+    return rows.select("*", *place).join(F.broadcast(held), "__map", "left").select(*rows.columns, found.alias(name))
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """Rows set apart: crc32 of the id as text leaves ``remainder`` modulo ``modulus``."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
