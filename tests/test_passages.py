@@ -1,6 +1,8 @@
 """Passages meet whole texts in one scan: no posting of the documents is written, and no text is left out."""
 
+import pandas as pd
 import pytest
+from oracle import same
 
 from shelfspark.operators import search
 from shelfspark.plans import registry
@@ -25,3 +27,14 @@ def test_overlaps_and_passages(spark):
 def test_no_posting_of_the_documents_is_written(spark, monkeypatch, name):
     monkeypatch.setattr(Catalog, "index", lambda *a: pytest.fail("the documents are indexed"))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_prefixes_are_counted_from_the_texts(spark, monkeypatch, tmp_path):
+    """A document of several rows, an empty one, none and a letter outside of the basic plane."""
+    monkeypatch.setattr(Catalog, "index", lambda *a: pytest.fail("the documents are indexed"))
+    texts = [(1, "en", "Ring rings RINGER ri r"), (1, "en", "ring road"), (2, "en", "ring 𝒳yz1 é12"), (3, "de", ""), (4, "de", None), (5, "de", "Straße rin"), (1, "de", "ring")]
+    pd.DataFrame(texts, columns=["doc_id", "lang", "text"]).to_parquet(tmp_path / "documents.parquet")
+    found = registry.queries()["prefix_df"](spark, str(tmp_path))
+    same(found, registry.oracle_sql()["prefix_df"], str(tmp_path))
+    got = {(r["category"], r["prefix"]): r["df"] for r in found.collect()}
+    assert got["en", "ri"] == 2 and got["en", "ring"] == 2 and got["de", "rin"] == 2 and got["en", "road"] == 1
